@@ -37,19 +37,12 @@ def sample_entities(df: DataFrame, share: float, entity: str) -> DataFrame:
     return df.filter(in_sample(F.col(entity), share))
 
 
-def mixed32(value: Column) -> Column:
-    """A 32-bit avalanche mix (xor-shift and multiply, both multipliers below 2^31 so the products fit)."""
-    x = value.bitwiseAND(F.lit(_MASK))
-    x = x.bitwiseXOR(F.shiftright(x, 16))
-    x = (x * F.lit(0x21F0AAAD)).bitwiseAND(F.lit(_MASK))
-    x = x.bitwiseXOR(F.shiftright(x, 15))
-    x = (x * F.lit(0x735A2D97)).bitwiseAND(F.lit(_MASK))
-    return x.bitwiseXOR(F.shiftright(x, 15))
-
-
-def draw32(*parts: Column) -> Column:
-    """A 32-bit draw that depends on every part."""
-    state = F.lit(0).cast("bigint")
-    for part in parts:
-        state = mixed32(mixed32(part.cast("bigint")).bitwiseXOR(state) + F.lit(0x9E3779B9))
-    return state
+def hex_draw(digest: Column, slot: Column) -> Column:
+    """The 32-bit number in one of the four 8-digit slots (0 to 3) of an MD5 digest."""
+    start = (slot * 8 + 1).cast("int")
+    return F.conv(F.substr(digest, start, F.lit(8)), 16, 10).cast("bigint")
+
+
+def text_digest(*parts: Column) -> Column:
+    """MD5 of the parts joined as text: the same in every engine, and on every retry of a task."""
+    return F.md5(F.concat_ws("|", *[part.cast("string") for part in parts]))

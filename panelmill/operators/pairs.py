@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelmill.functions.columns import count_where
 from panelmill.operators.events import flag_changes
 from panelmill.schema import ENTITY, FLAG_PATTERN, PERIOD, flag_columns
+from panelmill.session import cut_lineage
 
 
 def _event_counts(deltas: DataFrame) -> DataFrame:
@@ -44,8 +45,7 @@ def _holders(rows: DataFrame, flag: str) -> DataFrame:
 
 def snapshot_full_scan(rows: DataFrame, month_label: str, flag: str, date: str = "snapshot_date") -> DataFrame:
     """Holders of one flag in one month, filtered on a computed label after every column was stored."""
-    stored = rows.persist()
-    return _holders(stored.filter(F.date_format(date, "yyyy-MM") == month_label), flag)
+    return _holders(cut_lineage(rows).filter(F.date_format(date, "yyyy-MM") == month_label), flag)
 
 
 def snapshot_pruned(partitioned: DataFrame, month_label: str, flag: str) -> DataFrame:

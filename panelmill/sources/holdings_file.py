@@ -195,14 +195,21 @@ def missing_keys(df: DataFrame, keys: Sequence[str] = (DATE_COLUMN, ENTITY_COLUM
     )
 
 
+def data_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of all files without their headers, counted without the CSV parser."""
+    return (
+        spark.read.option("lineSep", "\n")
+        .text(path)
+        .groupBy(F.col("_metadata.file_path").alias("_file"))
+        .agg((F.count(F.lit(1)) - 1).alias("_lines"))
+        .agg(F.coalesce(F.sum("_lines"), F.lit(0)).alias("data_lines"))
+    )
+
+
 def row_reconciliation(spark: SparkSession, path: str, parsed: DataFrame) -> DataFrame:
-    """Data lines of the files, counted without the CSV parser, against the rows that parsed whole."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    files = len(lines.inputFiles())
+    """Data lines of the files against the rows that parsed whole."""
     whole = parsed.agg(F.count(F.when(F.col(CORRUPT).isNull(), 1)).alias("parsed_rows"))
-    return lines.agg(F.greatest(F.count(F.lit(1)) - files, F.lit(0)).alias("data_lines")).withColumn(
-        "parsed_rows", whole.scalar()
-    )
+    return data_lines(spark, path).withColumn("parsed_rows", whole.scalar())
 
 
 def period_differences(found: DataFrame, expected: Sequence[str], label: str = "month") -> DataFrame:
@@ -262,11 +269,10 @@ def load_checked(
             "months"
         ),
     ).first()
-    lines = spark.read.option("lineSep", "\n").text(path)
-    data_lines = max(lines.count() - len(lines.inputFiles()), 0)
-    if facts["parsed_rows"] != data_lines:
+    lines = data_lines(spark, path).first()["data_lines"]
+    if facts["parsed_rows"] != lines:
         raise IngestError(
-            f"{data_lines} data lines but {facts['parsed_rows']} whole rows; a line break inside a cell, "
+            f"{lines} data lines but {facts['parsed_rows']} whole rows; a line break inside a cell, "
             "or a truncated file"
         )
     if facts["missing_keys"]:
@@ -278,4 +284,4 @@ def load_checked(
     rows = typed_cells(text.filter(whole), schema).withColumn("month", month_label(F.col(DATE_COLUMN)))
     if sample_share is not None:
         rows = sample_entities(rows, sample_share, ENTITY_COLUMN)
-    return rows, {"source_rows": data_lines, "columns": len(schema.fields)}
+    return rows, {"source_rows": lines, "columns": len(schema.fields)}
