@@ -48,6 +48,7 @@ OR_CATALOGUE = Catalogue(
 )
 EV_SPLITS = Splits(train=(3, 18), validation=(19, 22), test=(23, 28))
 TARGET = "ind_purchase_ult1"
+EV_FLAG_FEATURES = tuple(p.code for p in EV_CATALOGUE.products if p.code != TARGET)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.functions.columns import count_where, row_max, row_min
@@ -49,20 +49,26 @@ def row_count_mismatch(stg: DataFrame, fact: DataFrame, entities: DataFrame, per
     )
 
 
+def _outside(name: str, low: float, high: float) -> Column:
+    return (F.col(name) < low) | (F.col(name) > high)
+
+
+def _missing_periods() -> Column:
+    span = F.col("last_seen_month_index") - F.col("first_seen_month_index") + 1
+    return span - F.col("months_present")
+
+
 def age_out_of_range(stg: DataFrame, low: int = 0, high: int = 110) -> DataFrame:
-    age = F.col("age")
-    return stg.filter((age < low) | (age > high)).select(ENTITY, PERIOD, "age")
+    return stg.filter(_outside("age", low, high)).select(ENTITY, PERIOD, "age")
 
 
 def income_out_of_range(stg: DataFrame, high: float = 10_000_000) -> DataFrame:
-    income = F.col("income")
-    return stg.filter((income < 0) | (income > high)).select(ENTITY, PERIOD, "income")
+    return stg.filter(_outside("income", 0, high)).select(ENTITY, PERIOD, "income")
 
 
 def entity_gaps(entities: DataFrame) -> DataFrame:
-    span = F.col("last_seen_month_index") - F.col("first_seen_month_index") + 1
     return (
-        entities.withColumn("missing_months", span - F.col("months_present"))
+        entities.withColumn("missing_months", _missing_periods())
         .filter("missing_months > 0")
         .select(ENTITY, "first_seen_month_index", "last_seen_month_index", "months_present", "missing_months")
     )
@@ -99,10 +105,15 @@ def filled_summary(stg: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Check:
+    """Violating rows with a severity. A check that looks at single rows of a table also names the table and
+    the condition, so that a summary can count many such checks in one pass."""
+
     name: str
     severity: str
     description: str
     rows: DataFrame
+    table: DataFrame | None = None
+    violates: Column | None = None
 
     def __post_init__(self) -> None:
         if self.severity not in SEVERITIES:
@@ -125,20 +136,63 @@ def standard_checks(
         "dim_product": products,
         "dim_month": periods,
     }
+    flags = [F.col(flag) for flag in flag_columns(stg)]
     return [
         Check("duplicate_key", "critical", "An entity has two rows in one period.", duplicate_keys(stg)),
-        Check("invalid_flags", "critical", "A flag is neither 0 nor 1.", invalid_flags(stg)),
+        Check(
+            "invalid_flags",
+            "critical",
+            "A flag is neither 0 nor 1.",
+            invalid_flags(stg),
+            stg,
+            (row_min(flags) < 0) | (row_max(flags) > 1),
+        ),
         Check(
             "row_reconcile",
             "critical",
             "The star schema has other row counts than the staging table implies.",
             row_count_mismatch(stg, fact, entities, periods),
         ),
-        Check("age_range", "warning", "Age outside the plausible range.", age_out_of_range(stg, *age_range)),
-        Check("income_range", "warning", "Income negative or implausibly high.", income_out_of_range(stg, income_max)),
-        Check("entity_gaps", "warning", "An entity skips a period between its first and last.", entity_gaps(entities)),
-        Check("filled_flags", "warning", "A missing flag was read as 0.", filled_flags(stg)),
-        Check("missing_join_date", "warning", "An entity never shows a join date.", missing_join_date(entities)),
+        Check(
+            "age_range",
+            "warning",
+            "Age outside the plausible range.",
+            age_out_of_range(stg, *age_range),
+            stg,
+            _outside("age", *age_range),
+        ),
+        Check(
+            "income_range",
+            "warning",
+            "Income negative or implausibly high.",
+            income_out_of_range(stg, income_max),
+            stg,
+            _outside("income", 0, income_max),
+        ),
+        Check(
+            "entity_gaps",
+            "warning",
+            "An entity skips a period between its first and last.",
+            entity_gaps(entities),
+            entities,
+            _missing_periods() > 0,
+        ),
+        Check(
+            "filled_flags",
+            "warning",
+            "A missing flag was read as 0.",
+            filled_flags(stg),
+            stg,
+            F.col(FILLED) > 0,
+        ),
+        Check(
+            "missing_join_date",
+            "warning",
+            "An entity never shows a join date.",
+            missing_join_date(entities),
+            entities,
+            F.col("join_date").isNull(),
+        ),
         Check("null_counts", "profile", "NULL values per staged column.", null_counts(stg)),
         Check("filled_summary", "profile", "Flags read as 0.", filled_summary(stg)),
         Check("row_counts", "profile", "Rows of every table.", table_row_counts(tables)),
@@ -146,23 +200,33 @@ def standard_checks(
 
 
 def summarise(checks: Sequence[Check]) -> DataFrame:
-    """Name, severity, status and number of violating rows of every check."""
-    parts = [
-        check.rows.agg(F.count(F.lit(1)).alias("violations")).select(
-            F.lit(check.name).alias("check_name"), F.lit(check.severity).alias("severity"), "violations"
-        )
-        for check in checks
-    ]
+    """Name, severity, status and number of violating rows of every check.
+
+    Row-level checks of a table are counted together in one aggregation of it.
+    """
+    severity = F.create_map(*[F.lit(text) for check in checks for text in (check.name, check.severity)])
+    parts: list[DataFrame] = []
+    by_table: dict[int, list[Check]] = {}
+    for check in checks:
+        if check.violates is None:
+            parts.append(check.rows.agg(F.count(F.lit(1)).alias("violations")).select(
+                F.lit(check.name).alias("check_name"), "violations"))
+        else:
+            by_table.setdefault(id(check.table), []).append(check)
+    for group in by_table.values():
+        counted = group[0].table.agg(*[count_where(check.violates).alias(check.name) for check in group])
+        parts.append(counted.unpivot([], [check.name for check in group], "check_name", "violations"))
     counts = parts[0]
     for part in parts[1:]:
         counts = counts.unionByName(part)
+    graded = counts.withColumn("severity", severity[F.col("check_name")])
     status = (
         F.when(F.col("severity") == "profile", "info")
         .when(F.col("violations") == 0, "pass")
         .when(F.col("severity") == "critical", "FAIL")
         .otherwise("warn")
     )
-    return counts.select("check_name", "severity", status.alias("status"), "violations")
+    return graded.select("check_name", "severity", status.alias("status"), "violations")
 
 
 def first_violations(check: Check, order: Sequence[str] | None = None, rows: int = SHOWN_ROWS) -> DataFrame:

@@ -208,7 +208,9 @@ def data_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def row_reconciliation(spark: SparkSession, path: str, parsed: DataFrame) -> DataFrame:
     """Data lines of the files against the rows that parsed whole."""
-    whole = parsed.agg(F.count(F.when(F.col(CORRUPT).isNull(), 1)).alias("parsed_rows"))
+    # A CSV scan may not be asked for the corrupt-line column alone.
+    some_cell = F.struct(parsed.columns[0])
+    whole = parsed.agg(F.count(F.when(F.col(CORRUPT).isNull(), some_cell)).alias("parsed_rows"))
     return data_lines(spark, path).withColumn("parsed_rows", whole.scalar())
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.sources.holdings_file import IngestError
@@ -58,8 +58,9 @@ def manifest(stored: DataFrame, entity: str, period: str = "month", sample_share
     )
 
 
-def source_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """Per file its size, lines and a digest over its lines.
+def source_fingerprint(spark: SparkSession, path: str, key: Column | None = None) -> DataFrame:
+    """Per file its size, lines and a digest over its lines. With `key`, an expression over `file`, files
+    are fingerprinted together, for example by folder.
 
     Lines are hashed where they are read and two 60-bit pieces of each hash are summed, so a file of any
     size is fingerprinted by many tasks. The order of the lines does not count.
@@ -69,13 +70,18 @@ def source_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     def piece(start: int):
         return F.sum(F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(38,0)"))
 
-    return (
+    per_file = (
         spark.read.option("lineSep", "\n")
         .text(path)
-        .select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
         .groupBy("file", "bytes")
         .agg(F.count(F.lit(1)).alias("lines"), piece(1).alias("_a"), piece(16).alias("_b"))
-        .select("file", "bytes", "lines", F.sha2(F.concat_ws("|", "bytes", "lines", "_a", "_b"), 256).alias("digest"))
+    )
+    name = F.regexp_extract("file", r"([^/]+)$", 1) if key is None else key
+    return (
+        per_file.groupBy(name.alias("file"))
+        .agg(*[F.sum(part).alias(part) for part in ("bytes", "lines", "_a", "_b")])
+        .select("file", "bytes", "lines", F.sha2(F.concat_ws("|", "lines", "_a", "_b"), 256).alias("digest"))
     )
 
 
