@@ -16,9 +16,9 @@ def wilson_bounds(successes: Column, trials: Column, z: float = Z_95) -> tuple[C
     shrink = 1 + z * z / n
     centre = (rate + z * z / (2 * n)) / shrink
     spread = z * F.sqrt(rate * (1 - rate) / n + z * z / (4 * n * n)) / shrink
-    known = trials > 0
-    lower = F.when(known, F.greatest(F.lit(0.0), centre - spread))
-    upper = F.when(known, F.least(F.lit(1.0), centre + spread))
+    # At a rate of 0 or 1 the bound on that side is exact; rounding must not move it.
+    lower = F.when(trials > 0, F.when(successes <= 0, 0.0).otherwise(centre - spread))
+    upper = F.when(trials > 0, F.when(successes >= trials, 1.0).otherwise(centre + spread))
     return lower, upper
 
 
