@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # Space separators (Unicode category Zs), the characters a trim removes.
 SPACES = " \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u202f\u205f\u3000"
 
+_INTEGER = r"^\s*[+-]?\d+\s*$"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _NOT_FINITE = r"(?i)^\s*[+-]?(nan|inf|infinity)\s*$"
 _DATE = r"^\s*\d{1,7}([-/ ])\d{1,2}\1\d{1,2}([ T].*)?$"
@@ -28,13 +29,17 @@ def clean_text(column: Column) -> Column:
 
 def to_integer(column: Column, sql_type: str = "int") -> Column:
     """Integer of a padded text. `1.0` and `1e2` count as integers, halves round away from zero,
-    anything else or out of range is NULL."""
+    anything else or out of range is NULL.
+
+    A failing cast raises and catches an exception inside Spark, which costs more than all the rest of a
+    row, so a pattern decides first which cast to use and only values out of range ever fail.
+    """
     text = trimmed(column)
-    exact = text.try_cast(sql_type)
-    number = F.round(F.when(text.rlike(_NUMBER), text.try_cast("double")))
+    parsed = text.try_cast("double")
+    number = F.signum(parsed) * F.floor(F.abs(parsed) + 0.5)
     limit = float(_LIMITS[sql_type])
     rounded = F.when((number >= -limit) & (number < limit), number.cast(sql_type))
-    return F.coalesce(exact, rounded)
+    return F.when(text.rlike(_INTEGER), text.try_cast(sql_type)).when(text.rlike(_NUMBER), rounded)
 
 
 def to_double(column: Column) -> Column:
