@@ -17,6 +17,8 @@ from checks.tables import (
 from panelmill.functions.statistics import with_wilson
 from panelmill.operators import events as ev_ops
 from panelmill.operators import journeys, portfolio
+from panelmill.plans.analysis import write_csv
+from panelmill.session import scratch_path
 
 EV_CHANGES = f"WITH {EV},{changes_of('ev', EV_FLAGS)}"
 OR_CHANGES = f"WITH {OR},{changes_of('orp', OR_FLAGS)}"
@@ -422,3 +424,15 @@ l{i} AS (SELECT * FROM l{i - 1} UNION ALL SELECT {i}, p, n FROM s{i})"""
 def ladder_proposal(spark, sf):
     return journeys.ladder_proposal(_penetration(spark, sf), _transitions(spark, sf))
 
+
+
+@query(
+    "write_result_csv",
+    f"""{ENGAGEMENT} SELECT dimension, group_value, month_label, customers::VARCHAR AS customers, active::VARCHAR AS active,
+        printf('%.6f', active / customers) AS engagement_rate FROM eng""",
+)
+def write_result_csv(spark, sf):
+    """A result written as CSV, read back as text."""
+    folder = scratch_path(spark, "results")
+    write_csv("engagement", _engagement(spark, sf), folder)
+    return spark.read.option("header", True).csv(f"{folder}/engagement")

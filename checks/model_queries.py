@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from checks.evaluation_queries import level_sql, shown
@@ -68,6 +70,52 @@ def preprocess_levels(spark, sf):
     return model.top_levels(rows_of(spark, sf, "train"), COLUMNS.categorical)
 
 
+def _feature_answer() -> str:
+    """Every preprocessed feature of the validation rows, long form."""
+    key = "customer_id, feature_month"
+    parts = []
+    for name in COLUMNS.numeric:
+        parts.append(
+            f"""SELECT {key}, '{name}' AS feature, (coalesce(v.{name}, s.med) - s.mean) / s.sd AS value FROM vld v, (
+            SELECT med, avg(coalesce({name}, med)) AS mean, coalesce(nullif(stddev_pop(coalesce({name}, med)), 0), 1) AS sd
+            FROM trn, (SELECT median({name})::DOUBLE AS med FROM trn) GROUP BY med) s"""
+        )
+        parts.append(
+            f"""SELECT {key}, '{name}_missing', ((v.{name} IS NULL)::INTEGER - s.mean) / s.sd FROM vld v, (
+            SELECT avg(({name} IS NULL)::INTEGER) AS mean, coalesce(nullif(stddev_pop(({name} IS NULL)::INTEGER), 0), 1) AS sd
+            FROM trn HAVING bool_or({name} IS NULL)) s"""
+        )
+    for name in COLUMNS.zero_one:
+        parts.append(
+            f"""SELECT {key}, '{name}', coalesce(v.{name}, s.m)::DOUBLE FROM vld v, (SELECT {name} AS m FROM trn
+            WHERE {name} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) s"""
+        )
+    for name in COLUMNS.categorical:
+        levels = f"""(SELECT level FROM (SELECT {name} AS level, row_number() OVER (ORDER BY count(*) DESC, {name} DESC) AS place,
+            count(*) OVER () AS n FROM trn GROUP BY 1) WHERE n <= 11 OR place <= 10)"""
+        parts.append(f"SELECT {key}, '{name}=' || k.level, (v.{name} = k.level)::INTEGER::DOUBLE FROM vld v, {levels} k")
+        parts.append(
+            f"""SELECT {key}, '{name}=other levels', (v.{name} NOT IN {levels})::INTEGER::DOUBLE FROM vld v
+            WHERE (SELECT count(DISTINCT {name}) FROM trn) > 11"""
+        )
+    exact = ROWS.replace("round(ln(s.income + 1), 6)", "ln(s.income + 1)")
+    return (
+        f"{exact}, trn AS (SELECT * FROM mrw WHERE split = 'train'), vld AS (SELECT * FROM mrw WHERE split = 'validation'), "
+        f"prp AS ({' UNION ALL '.join(parts)}) SELECT {key}, feature, round(value, 6) AS value FROM prp"
+    )
+
+
+@query("preprocess", _feature_answer())
+def preprocess(spark, sf):
+    train, validation, _ = stored_splits(spark, sf)
+    stages, names = model.fit_preprocess(train, COLUMNS)
+    vectors = PipelineModel(stages).transform(validation).select(
+        "customer_id", "feature_month", F.posexplode(vector_to_array("features")).alias("place", "value")
+    )
+    named = F.element_at(F.array(*[F.lit(name) for name in names]), F.col("place") + 1)
+    return rounded(vectors.select("customer_id", "feature_month", named.alias("feature"), (F.col("value") + 0.0).alias("value")))
+
+
 @query(
     "class_weights",
     f"""{ROWS} SELECT count(*) AS rows, sum(label)::BIGINT AS positives, (count(*) - sum(label))::BIGINT AS negatives,
@@ -176,7 +224,10 @@ def permutation_importance(spark, sf):
     return model.permutation_importance(fitted, validation, COLUMNS.all, ["customer_id", "feature_month"])
 
 
-@query("score_reproducible")
+@query(
+    "score_reproducible",
+    f"{ROWS} SELECT customer_id, feature_month, label, 0::DOUBLE AS score FROM mrw WHERE split = 'none'",
+)
 def score_reproducible(spark, sf):
     """Scores that differ between two fits of the same rows: none."""
     train, validation, _ = stored_splits(spark, sf)

@@ -51,7 +51,7 @@ def analyse(w: Warehouse, top_channels: int = 10) -> dict[str, DataFrame]:
 def write_csv(name: str, result: DataFrame, folder: str) -> None:
     """One ordered CSV file per result, numbers with six decimals. Results are report-sized."""
     shown = [
-        f"format_string('%.6f', `{column}`) AS `{column}`" if kind == "double" else f"`{column}`"
+        f"if(`{column}` IS NULL, NULL, format_string('%.6f', `{column}`)) AS `{column}`" if kind == "double" else f"`{column}`"
         for column, kind in result.dtypes
     ]
     ordered = result.orderBy(*ORDER.get(name, result.columns)).selectExpr(*shown)
