@@ -140,8 +140,7 @@ def write_by_period(spark, sf):
     path = scratch_path(spark, "by-period")
     rows = _rows(spark, sf)
     publishing.write_by_period(rows, path)
-    columns = {field.name: field.dataType.simpleString() for field in rows.schema.fields}
-    stored = publishing.read_by_period(spark, path, columns)
+    stored = publishing.read_by_period(spark, path, rows.schema)
     return stored.select("month", "ncodpers", "ind_view_ult1", "ind_error_ult1")
 
 

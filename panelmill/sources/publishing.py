@@ -6,11 +6,13 @@ folder has to be renamed, which object stores cannot do atomically.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelmill.sources.holdings_file import IngestError
 
@@ -26,11 +28,9 @@ def write_by_period(df: DataFrame, path: str, period: str = "month", max_rows_pe
     writer.parquet(path)
 
 
-def read_by_period(spark: SparkSession, path: str, columns: Mapping[str, str] | None = None) -> DataFrame:
+def read_by_period(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Read it back; the period label stays text because the schema says so, not inference."""
-    reader = spark.read
-    if columns is not None:
-        reader = reader.schema(", ".join(f"`{name}` {kind}" for name, kind in columns.items()))
+    reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
 
 
@@ -146,8 +146,7 @@ def publish(
     spark = rows.sparkSession
     version = uuid.uuid4().hex
     write_by_period(rows, f"{root}/versions/{version}", period)
-    columns = {field.name: field.dataType.simpleString() for field in rows.schema.fields}
-    stored = read_by_period(spark, f"{root}/versions/{version}", columns)
+    stored = read_by_period(spark, f"{root}/versions/{version}", rows.schema)
     entry = manifest(stored, entity, period, sample_share).first().asDict(recursive=True)
     found = [item["period"] for item in entry["rows_per_period"]]
     if expected_rows is not None and entry["rows"] != expected_rows:
@@ -157,7 +156,7 @@ def publish(
     row = manifest(stored, entity, period, sample_share).select(
         "*",
         F.lit(version).alias("version"),
-        F.lit(rows.schema.simpleString()).alias("row_schema"),
+        F.lit(rows.schema.json()).alias("row_schema"),
         F.current_timestamp().alias("published_at"),
     )
     row.coalesce(1).write.mode("append").json(f"{root}/manifest")
@@ -181,6 +180,5 @@ def read_published(spark: SparkSession, root: str) -> DataFrame:
     entry = published_version(spark, root)
     if entry is None:
         raise IngestError(f"nothing is published in {root}")
-    schema = str(entry["row_schema"]).removeprefix("struct<").removesuffix(">")
-    columns = dict(part.split(":", 1) for part in schema.split(","))
-    return read_by_period(spark, f"{root}/versions/{entry['version']}", columns)
+    schema = T.StructType.fromJson(json.loads(str(entry["row_schema"])))
+    return read_by_period(spark, f"{root}/versions/{entry['version']}", schema)
