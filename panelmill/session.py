@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach; a fresh local one only where the session names none (tests)."""
+    """The folder all executors can reach; a fresh local one only where the session names none and runs in one process.
+
+    On a cluster a folder of the driver's machine would scatter files over the executors' disks, so there the
+    session has to name one.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="panelmill-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
