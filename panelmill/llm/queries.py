@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import packing
+from panelmill.llm import chat, decontamination, packing, sharding, voronoi
+from panelmill.llm.shipping import ship_package
 from panelmill.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,10 +18,15 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def register(function: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = function
+        @wraps(function)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
-        return function
+        return run
 
     return register
 
@@ -40,6 +47,65 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@query(
+    "op5_voronoi_top_k",
+    """
+    WITH v AS (
+        SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v::DOUBLE[], d.v::DOUBLE[]) AS BIGINT) AS score
+        FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id
+    )
+    SELECT query_id, rank, vec_id, score FROM (
+        SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+    ) WHERE rank <= 5
+    """,
+)
+def voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = voronoi.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return voronoi.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+@query("op6_wu_manber_decontamination")
+def wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    # spans are start, end, start, end, ...: each end counts its words, each start takes away those before it
+    signed = F.transform("spans", lambda bound, at: F.when(at % 2 == 1, bound).otherwise(-bound))
+    hit = F.aggregate(signed, F.lit(0).cast("long"), lambda total, bound: total + bound)
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+@query("op8_vector_sharding")
+def vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = sharding.document_sizes(table(spark, sf_dir, "documents"))
+    placed = sharding.shard_rows(
+        sizes, key="doc_id", group=["text_hash", "text_crc32", "size"], dimensions=["size", "tokens", "rows"]
+    )
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query("op9_chat_formatting")
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probe conversation -1 speaks the template's own control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    probes = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema)
+    template = chat.InstructionTemplate()
+    return chat.read_back(chat.format_conversations(rows.unionByName(probes), template), template)
+
+
 @query("op10_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
