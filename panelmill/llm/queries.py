@@ -8,12 +8,14 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import chat, decontamination, packing, sharding, voronoi
+from panelmill.llm import chat, decontamination, line_spread, packing, sharding, toxicity, voronoi
 from panelmill.llm.shipping import ship_package
 from panelmill.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: documents with a number for each row, so that repeated ids stay apart
+NUMBERED = "(SELECT row_number() OVER () AS rowid, doc_id, text, source FROM documents)"
 
 
 def query(name: str, oracle: str | None = None):
@@ -41,12 +43,51 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_ftrl_toxicity")
+def ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, toxicity.learnable(table(spark, sf_dir, "labels")))
+    return toxicity.score(documents, model).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 @query("op3_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@query(
+    "op4_line_spread",
+    f"""
+    WITH parts AS (
+        SELECT rowid AS r, doc_id, text, source, string_split(text, chr(10)) AS parts FROM {NUMBERED}
+    ), lines AS (
+        SELECT r, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS at FROM parts
+    ), spread AS (
+        SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10
+    ), judged AS (
+        SELECT r, count(s.line) AS n, sum(length(l.line)) FILTER (s.line IS NOT NULL) AS lost, sum(length(l.line)) AS size,
+            count(*) FILTER (l.line <> '') AS n_lines,
+            string_agg(l.line, chr(10) ORDER BY at) FILTER (s.line IS NULL) AS kept
+        FROM lines l LEFT JOIN spread s ON s.line = l.line GROUP BY r
+    )
+    SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN n > 0 AND lost <= 0.5 * size THEN n ELSE 0 END AS n_removed,
+        sha256(CASE WHEN n > 0 AND lost <= 0.5 * size THEN coalesce(kept, '') ELSE coalesce(text, '') END) AS text_sha256
+    FROM parts LEFT JOIN judged USING (r)
+    """,
+)
+def line_spread_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites are the documents' sources."""
+    cleaned = line_spread.remove_boilerplate(table(spark, sf_dir, "documents"), report=True)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+
+
 @query(
     "op5_voronoi_top_k",
     """
@@ -89,7 +130,7 @@ def wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = sharding.document_sizes(table(spark, sf_dir, "documents"))
     placed = sharding.shard_rows(
-        sizes, key="doc_id", group=["text_hash", "text_crc32", "size"], dimensions=["size", "tokens", "rows"]
+        sizes, key="doc_id", group=["text_hash", "text_crc32", "size"], dimensions={"size": 16, "tokens": 1, "rows": 1}
     )
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

@@ -10,6 +10,8 @@ A group that would outgrow a slice is salted into parts; there are fewer such gr
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,14 +25,14 @@ SLICE_ROWS = 8_000
 BROADCAST_GROUPS = 100_000
 
 
-def place(sizes: np.ndarray, shards: int) -> np.ndarray:
-    """A shard for each row of `sizes` (items x dimensions)."""
+def place(sizes: np.ndarray, shards: int, emphasis: Sequence[float]) -> np.ndarray:
+    """A shard for each row of `sizes` (items x dimensions); emphasis: how much each dimension counts in the product."""
     totals = sizes.sum(axis=0)
     share = sizes / np.where(totals > 0, totals, 1)
     residual = np.full((shards, sizes.shape[1]), 1.0 / shards)
     found = np.empty(len(sizes), dtype=np.int32)
-    for item in np.argsort(-share.max(axis=1), kind="stable"):
-        best = found[item] = int((residual @ share[item]).argmax())
+    for item in np.lexsort((-share[:, 0], -share.max(axis=1))):
+        best = found[item] = int((residual @ (share[item] * emphasis)).argmax())
         residual[best] -= share[item]
     return found
 
@@ -39,13 +41,13 @@ def shard_rows(
     rows: DataFrame,
     key: str,
     group: list[str],
-    dimensions: list[str],
+    dimensions: dict[str, float],
     shards: int = SHARDS,
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Add shard (0 to shards - 1) and slot (gapless from 0 within the shard) to `rows`.
 
-    `dimensions` are non-negative numbers of each row, `group` names the columns that rows placed together share
+    `dimensions` are non-negative numbers of each row with their emphasis, `group` names the columns that rows placed together share
     (their nulls are equal). Repeated rows stay apart, null keys are allowed, an empty table gives an empty result.
     """
     rows = stored(rows, "shard-rows")
@@ -71,7 +73,7 @@ def shard_rows(
         part = part.sort_values([*group, "_part", key], kind="stable", ignore_index=True)
         item = part.groupby([*group, "_part"], dropna=False, sort=False).ngroup().to_numpy()
         sizes = np.stack([np.bincount(item, weights=part[name].to_numpy(float)) for name in dimensions], axis=1)
-        part["shard"] = place(sizes, shards)[item]
+        part["shard"] = place(sizes, shards, list(dimensions.values()))[item]
         part["_local"] = part.groupby("shard").cumcount().astype("int64")
         return part[[*names, "_slice", "shard", "_local"]]
 
