@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import chat, decontamination, line_spread, packing, sharding, toxicity, voronoi
+from panelmill.llm import chat, decontamination, jaccard, line_spread, packing, sharding, toxicity, voronoi
 from panelmill.llm.shipping import ship_package
 from panelmill.llm.token_counts import count_tokens
 
@@ -67,13 +67,13 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH parts AS (
         SELECT rowid AS r, doc_id, text, source, string_split(text, chr(10)) AS parts FROM {NUMBERED}
     ), lines AS (
-        SELECT r, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS at FROM parts
+        SELECT r, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM parts
     ), spread AS (
         SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10
     ), judged AS (
-        SELECT r, count(s.line) AS n, sum(length(l.line)) FILTER (s.line IS NOT NULL) AS lost, sum(length(l.line)) AS size,
-            count(*) FILTER (l.line <> '') AS n_lines,
-            string_agg(l.line, chr(10) ORDER BY at) FILTER (s.line IS NULL) AS kept
+        SELECT r, count(s.line) AS n, sum(length(l.line)) FILTER (WHERE s.line IS NOT NULL) AS lost, sum(length(l.line)) AS size,
+            count(*) FILTER (WHERE l.line <> '') AS n_lines,
+            string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE s.line IS NULL) AS kept
         FROM lines l LEFT JOIN spread s ON s.line = l.line GROUP BY r
     )
     SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN n > 0 AND lost <= 0.5 * size THEN n ELSE 0 END AS n_removed,
@@ -126,6 +126,11 @@ def wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_grouped_prefix_join")
+def grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=(85, 100))
+
+
 @query("op8_vector_sharding")
 def vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = sharding.document_sizes(table(spark, sf_dir, "documents"))
