@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import chat, decontamination, jaccard, line_spread, packing, sharding, toxicity, voronoi
+from panelmill.llm import chat, decontamination, jaccard, line_spread, packing, sharding, substrings, toxicity, voronoi
 from panelmill.llm.shipping import ship_package
 from panelmill.llm.token_counts import count_tokens
 
@@ -55,6 +55,11 @@ def ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_suffix_repeats")
+def suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op3_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
