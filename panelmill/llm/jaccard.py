@@ -118,7 +118,7 @@ def _prefix_length(n: int, similarity: tuple[int, int]) -> int:
 
 
 def _described(texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """_key, n, node (hash of the set), bunch (hash of prefix and size), prefix; node is null without words."""
+    """_key, _hash, n, node (hash of the set), bunch (hash of prefix and size), prefix; node is null without words."""
     keys, docs, buckets = common_shingles(texts.select("_text"), words)
     shared = texts.sparkSession.sparkContext.broadcast((keys, docs))
     mask, shift = np.uint64(buckets - 1), np.uint64(buckets.bit_length() - 1)
@@ -145,14 +145,14 @@ def _described(texts: DataFrame, words: int, similarity: tuple[int, int]) -> Dat
                 prefixes.append(prefix)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bunches, pa.int64()),
+                    batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bunches, pa.int64()),
                     pa.array(prefixes, pa.list_(pa.int64())),
                 ],
-                names=["_key", "n", "node", "bunch", "prefix"],
+                names=["_key", "_hash", "n", "node", "bunch", "prefix"],
             )
 
     kind = texts.schema["_key"].dataType.simpleString()
-    return texts.mapInArrow(describe, f"_key {kind}, n long, node long, bunch long, prefix array<long>")
+    return texts.mapInArrow(describe, f"_key {kind}, _hash long, n long, node long, bunch long, prefix array<long>")
 
 
 def _sizes_fit(one: Column, other: Column, similarity: tuple[int, int]) -> Column:
@@ -211,16 +211,18 @@ def _ordered(one: Column, other: Column) -> tuple[Column, Column]:
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """key, n_shingles and component_id (the smallest key reachable by links) of every row.
+    """key, n_shingles and component_id (the smallest key reachable by links) of every row, and class_id (a number
+    for the component, null without words) and text_hash (xxhash64), by which repeated keys can be told apart.
 
     Two texts link when part of `similarity` times the union of their shingle sets is at most whole times their
     intersection. Null, empty and blank texts have no shingles, link with nothing and are their own component, equal
     ones too. Repeated rows stay, and equal texts always link. Null keys are allowed; a component of only such rows
     has a null id. An empty table gives an empty result; other columns are ignored.
     """
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").cast("binary").alias("_text"))
+    body = F.col(text).cast("string")
+    texts = docs.select(F.col(key).alias("_key"), body.cast("binary").alias("_text"), F.xxhash64(body).alias("_hash"))
     described = stored(_described(texts, words, similarity), "jaccard-prefixes")
-    rows = described.select("_key", "n", "node", "bunch")
+    rows = described.select("_key", "_hash", "n", "node")
     filled = described.where(F.col("node").isNotNull())
     sources = filled.groupBy("node").agg(F.min("_key").alias("_key"), F.first("bunch").alias("bunch"))
     members = stored(sources, "jaccard-nodes")
@@ -280,9 +282,35 @@ def near_duplicates(
         left.select("x", "y").unionByName(inner.select("x", "y")).distinct(), members, texts, words, similarity
     )
     ends = connected(links.unionByName(more))
-    named = rows.join(ends, "node", "left").withColumn("_part", F.coalesce("root", "node")).select("_key", "n", "_part")
+    named = rows.join(ends, "node", "left").withColumn("_part", F.coalesce("root", "node")).select("_key", "_hash", "n", "_part")
     smallest = named.where(F.col("_part").isNotNull()).groupBy("_part").agg(F.min("_key").alias("_least"))
     return named.join(smallest, "_part", "left").select(
         F.col("_key").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("_part").isNull(), F.col("_key")).otherwise(F.col("_least")).alias("component_id"),
+        F.col("_part").alias("class_id"), F.col("_hash").alias("text_hash"),
     )
+
+
+def keep_one(
+    docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """`docs` with one row of each class of near duplicates: the one with the smallest key.
+
+    Texts without words are in no class and all stay. Every column passes through.
+    """
+    found = stored(near_duplicates(docs, words, similarity, key, text).where(F.col("class_id").isNotNull()), "jaccard-classes")
+    row = F.struct(F.col(key).alias("k"), F.col("text_hash").alias("h"))
+    chosen = found.groupBy("class_id").agg(F.min(row).alias("_chosen"), F.count(F.lit(1)).alias("_rows"))
+    gone = stored(
+        found.join(chosen.where(F.col("_rows") > 1), "class_id").where(~row.eqNullSafe(F.col("_chosen")))
+        .select(F.col(key).alias("_k"), F.col("text_hash").alias("_h")).distinct(),
+        "jaccard-dropped",
+    )
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    hashed = F.xxhash64(F.col(text).cast("string"))
+    kept = docs.withColumn("_hash", hashed).join(side, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left_anti")
+    if found.groupBy(key, "text_hash").count().where(F.col("count") > 1).isEmpty():
+        return kept.select(*docs.columns)
+    # rows repeated as a whole: one of each, but for those without words
+    apart = F.when(F.col(text).rlike(r"[^\x09-\x0D ]"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    return kept.withColumn("_apart", apart).dropDuplicates([key, "_hash", "_apart"]).select(*docs.columns)
