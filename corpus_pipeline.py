@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from panelmill.llm import decontamination, jaccard, line_spread, packing, toxicity
 from panelmill.llm.queries import table, tokenizer_file
 from panelmill.llm.shipping import ship_package
-from panelmill.llm.storage import stored
+from panelmill.llm.storage import positional, stored
 
 TOXIC_FROM = 0.3
 
@@ -23,14 +23,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches the threshold go; the model learns from the labels not held out."""
     ship_package(spark)
     model = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model, to="_toxicity").where(F.col("_toxicity") < TOXIC_FROM).select(*docs.columns)
+    return toxicity.score(docs, model, to="_toxicity").where(F.col("_toxicity") < TOXIC_FROM).drop("_toxicity")
 
 
 def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many sources share go from the texts; n_chars follows. No document goes."""
-    cleaned = line_spread.remove_boilerplate(docs, report=True)
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    return cleaned.select(*[n_chars if name == "n_chars" else F.col(name) for name in docs.columns])
+    cleaned = line_spread.remove_boilerplate(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +41,12 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     ship_package(spark)
-    others = [name for name in docs.columns if name != "doc_id"]
-    found = decontamination.find_passages(docs, table(spark, sf_dir, "benchmark"), keep=others)
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    plain, at = positional(docs)
+    others = [name for name in plain.columns if name != at["doc_id"]]
+    found = decontamination.find_passages(
+        plain, table(spark, sf_dir, "benchmark"), key=at["doc_id"], text=at["text"], keep=others
+    )
+    return found.where(F.size("spans") == 0).select(*plain.columns).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@
    task, and shingles are ordered by count, then hash: rare ones first. Two sets as similar as the threshold share a
    shingle within their prefixes, the first n - ceil(t n) + 1 of each.
 2. Equal sets are one node. Nodes with identical prefix and size are one group; only groups are joined.
-3. Group pairs must pass the size filter and the prefix filter: whichever prefix ends first, each of its shingles
+3. Group pairs must pass the size filter, the position filter (what comes before the first common shingle is not
+   common) and the prefix filter: whichever prefix ends first, each of its shingles
    that the other prefix lacks is lacking in the whole other set.
 4. Surviving pairs are expanded to their members, which are verified on their whole sets.
 
@@ -26,14 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.llm.components import connected
-from panelmill.llm.storage import stored
+from panelmill.llm.storage import positional, stored
 
 WORDS = 5
 SIMILARITY = (80, 100)
 #: shingles known by count to every task, and the least count that makes one of them
 KNOWN_SHINGLES, KNOWN_FROM = 1 << 20, 16
-#: shingles counted in one task, about
-_COUNTED_TOGETHER = 4_000_000
+#: shingles counted in one task, about, and texts whose shingles are counted before the shuffle
+_COUNTED_TOGETHER, _COUNTED_ROWS = 4_000_000, 2_500
 #: rows of a (key, id) pair up to which a side is broadcast
 BROADCAST_ROWS = 500_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -71,8 +72,8 @@ def common_shingles(texts: DataFrame, words: int, known: int = KNOWN_SHINGLES, l
     mask = np.uint64(buckets - 1)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(raw.as_py() or b"", words) for raw in batch.column(batch.num_columns - 1)]
+        for batch in (batch.slice(at, _COUNTED_ROWS) for batch in batches for at in range(0, batch.num_rows, _COUNTED_ROWS)):
+            sets = [shingle_set(raw.as_py() or b"", words) for raw in batch.column(0)]
             shingles, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
             bucket = shingles & mask
             order = np.argsort(bucket, kind="stable")
@@ -155,8 +156,11 @@ def _described(texts: DataFrame, words: int, similarity: tuple[int, int]) -> Dat
     return texts.mapInArrow(describe, f"_key {kind}, _hash long, n long, node long, bunch long, prefix array<long>")
 
 
-def _sizes_fit(one: Column, other: Column, similarity: tuple[int, int]) -> Column:
-    return F.least(one, other) * similarity[1] >= F.greatest(one, other) * similarity[0]
+def _may_link(n: Column, at: Column, m: Column, by: Column, similarity: tuple[int, int]) -> Column:
+    """Size and position filter for sets of n and m shingles whose first common one is number `at` and `by` of them."""
+    part, whole = similarity
+    sizes = F.least(n, m) * whole >= F.greatest(n, m) * part
+    return sizes & (F.least(n - at, m - by) * (whole + part) >= (n + m) * part)
 
 
 def _filtered(pairs: DataFrame, bunches: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -229,18 +233,25 @@ def near_duplicates(
     # in a group every row has the same prefix
     bunches = stored(filled.select("bunch", "n", "prefix").dropDuplicates(["bunch"]), "jaccard-groups")
 
-    postings = bunches.select("bunch", "n", F.explode("prefix").alias("shingle"))
-    lists = postings.groupBy("shingle").agg(F.min("bunch").alias("first"), F.max("bunch").alias("last"))
+    # a list's first group is the one with the fewest rarer shingles: the least edited of a group of copies
+    postings = bunches.select("bunch", "n", F.posexplode("prefix").alias("at", "shingle"))
+    lists = postings.groupBy("shingle").agg(
+        F.min(F.struct("at", "n", "bunch")).alias("head"), F.min("bunch").alias("low"), F.max("bunch").alias("high")
+    )
     shared = stored(
-        postings.join(lists.where(F.col("first") != F.col("last")).select("shingle", "first"), "shingle"), "jaccard-lists"
+        postings.join(lists.where(F.col("low") != F.col("high")).select("shingle", "head"), "shingle").select(
+            "shingle", "bunch", "n", "at", F.col("head.bunch").alias("first"), F.col("head.n").alias("n_first"), F.col("head.at").alias("at_first")
+        ),
+        "jaccard-lists",
     )
 
     # first round: every group with the first of each of its lists, and every node with the first of its group
-    leading = bunches.select(F.col("bunch").alias("first"), F.col("n").alias("n_first"))
     starred = (
-        shared.where(F.col("bunch") != F.col("first")).select("bunch", "n", "first").distinct().join(leading, "first")
-        .where(_sizes_fit(F.col("n"), F.col("n_first"), similarity))
-        .select(F.col("first").alias("a"), F.col("bunch").alias("b"))
+        shared.where(
+            (F.col("bunch") != F.col("first"))
+            & _may_link(F.col("n"), F.col("at"), F.col("n_first"), F.col("at_first"), similarity)
+        )
+        .select(F.col("first").alias("a"), F.col("bunch").alias("b")).distinct()
     )
     leaders = members.groupBy("bunch").agg(F.min("node").alias("lead"))
     lead = [leaders.select(F.col("bunch").alias(x), F.col("lead").alias(y)) for x, y in ("ax", "by")]
@@ -259,16 +270,18 @@ def near_duplicates(
     )
     entries = shared.join(whole, "bunch").join(whole.select(F.col("bunch").alias("first"), F.col("part").alias("main")), "first")
     apart = entries.where(F.col("part").isNull() | F.col("main").isNull() | (F.col("part") != F.col("main")))
-    apart = apart.select("shingle", F.col("bunch").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
+    apart = apart.select(
+        "shingle", F.col("bunch").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("part").alias("part_a")
+    )
     mixed_lists = apart.select("shingle").distinct()
     others = entries.join(mixed_lists, "shingle", "left_semi").select(
-        "shingle", F.col("bunch").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b")
+        "shingle", F.col("bunch").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("part").alias("part_b")
     )
     small, large = _ordered(F.col("a"), F.col("b"))
     crossing = (
         apart.join(others, "shingle")
         .where(
-            (F.col("a") != F.col("b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), similarity)
+            (F.col("a") != F.col("b")) & _may_link(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), similarity)
             & ~F.coalesce(F.col("part_a") == F.col("part_b"), F.lit(False))
         )
         .select(small.alias("a"), large.alias("b")).distinct()
@@ -298,6 +311,9 @@ def keep_one(
 
     Texts without words are in no class and all stay. Every column passes through.
     """
+    columns = docs.columns
+    docs, at = positional(docs)
+    key, text = at[key], at[text]
     found = stored(near_duplicates(docs, words, similarity, key, text).where(F.col("class_id").isNotNull()), "jaccard-classes")
     row = F.struct(F.col(key).alias("k"), F.col("text_hash").alias("h"))
     chosen = found.groupBy("class_id").agg(F.min(row).alias("_chosen"), F.count(F.lit(1)).alias("_rows"))
@@ -310,7 +326,7 @@ def keep_one(
     hashed = F.xxhash64(F.col(text).cast("string"))
     kept = docs.withColumn("_hash", hashed).join(side, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left_anti")
     if found.groupBy(key, "text_hash").count().where(F.col("count") > 1).isEmpty():
-        return kept.select(*docs.columns)
+        return kept.select(*docs.columns).toDF(*columns)
     # rows repeated as a whole: one of each, but for those without words
     apart = F.when(F.col(text).rlike(r"[^\x09-\x0D ]"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
-    return kept.withColumn("_apart", apart).dropDuplicates([key, "_hash", "_apart"]).select(*docs.columns)
+    return kept.withColumn("_apart", apart).dropDuplicates([key, "_hash", "_apart"]).select(*docs.columns).toDF(*columns)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.storage import stored
+from panelmill.llm.storage import positional, stored
 
 MIN_SITES = 10
 MOST_REMOVED = 0.5
@@ -73,8 +73,12 @@ def remove_boilerplate(
 
     A text of which more than `most_removed` (in characters of its lines) would go keeps all of it. Null texts stay
     null with 0 lines, texts without boilerplate stay as they are, repeated rows are treated alike, null keys are
-    allowed, an empty table gives an empty result. Every other column passes through.
+    allowed, an empty table gives an empty result. Every other column passes through, but for
+    two that are named as the counts if these are asked for.
     """
+    columns = docs.columns
+    docs, at = positional(docs)
+    key, text, site = at[key], at[text], at[site]
     marked = stored(boilerplate_lines(docs, min_sites, text, site), "boilerplate-lines")
     marked_side = F.broadcast(marked) if marked.count() <= BROADCAST_LINES else marked
     row_hash = F.xxhash64(F.col(key), F.col(text))
@@ -90,13 +94,16 @@ def remove_boilerplate(
     )
     lines = _lines(text)
     cut = F.coalesce("_cut", F.array().cast("array<int>"))
-    kept = F.filter(lines, lambda line, at: ~F.array_contains(cut, at))
+    kept = F.filter(lines, lambda line, place: ~F.array_contains(cut, place))
     size = F.length(F.array_join(lines, ""))
     lost = size - F.length(F.array_join(kept, ""))
     applies = (F.size(cut) > 0) & (lost <= size * most_removed)
-    counts = [
-        F.coalesce(F.size(F.filter(lines, lambda line: line != "")), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(applies, F.size(cut)).otherwise(0).cast("long").alias("n_removed"),
+    counts = {
+        "n_lines": F.coalesce(F.size(F.filter(lines, lambda line: line != "")), F.lit(0)).cast("long"),
+        "n_removed": F.when(applies, F.size(cut)).otherwise(0).cast("long"),
+    }
+    cleaned = F.when(applies, F.array_join(kept, "\n")).otherwise(F.col(text))
+    others = [
+        (cleaned if at[name] == text else F.col(at[name])).alias(name) for name in columns if not (report and name in counts)
     ]
-    others = [F.when(applies, F.array_join(kept, "\n")).otherwise(F.col(text)).alias(text) if name == text else F.col(name) for name in docs.columns]
-    return joined.select(*others, *(counts if report else []))
+    return joined.select(*others, *([count.alias(name) for name, count in counts.items()] if report else []))

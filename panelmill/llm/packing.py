@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.llm.bpe import word_end
-from panelmill.llm.storage import stored
+from panelmill.llm.storage import positional, stored
 
 CAPACITY = 4096
 ROUNDS = 100
@@ -211,8 +211,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, slic
     and takes part in the order of the ranks. The broadcast plan has at most a few rows for each distinct length
     and round, so its size is bounded by `capacity` and `rounds`.
     """
-    pieces = stored(pieces, "pieces")
-    counts = {row["length"]: row["count"] for row in pieces.groupBy("length").count().collect()}
+    columns = pieces.columns
+    pieces, named = positional(stored(pieces, "pieces"))
+    size = named["length"]
+    counts = {row[0]: row[1] for row in pieces.groupBy(size).count().collect()}
     slots = _slots(plan_sequences(counts, capacity, rounds))
     table = {
         length: tuple(part[name].to_numpy(np.int64) for name in ("low", "each", "first", "offset"))
@@ -223,15 +225,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, slic
     slices = max(1, sum(counts.values()) // slice_rows)
     names = pieces.columns
     sliced = pieces.withColumn("_slice", F.pmod(F.xxhash64(*names), F.lit(slices)).cast("int"))
-    earlier = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sliced.groupBy("length", "_slice").agg(F.count(F.lit(1)).alias("_n")).select(
-        "length", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    earlier = Window.partitionBy(size).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sliced.groupBy(size, "_slice").agg(F.count(F.lit(1)).alias("_n")).select(
+        size, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
-    within = Window.partitionBy("length", "_slice").orderBy(*names)
-    ranked = sliced.withColumn("_local", F.row_number().over(within) - 1).join(offsets, ["length", "_slice"]).select(
+    within = Window.partitionBy(size, "_slice").orderBy(*names)
+    ranked = sliced.withColumn("_local", F.row_number().over(within) - 1).join(offsets, [size, "_slice"]).select(
         *names, (F.col("_before") + F.col("_local")).alias("_rank")
     )
-    at = names.index("length")
+    at = columns.index("length")
 
     def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,4 +251,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, slic
             )
 
     kinds = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in pieces.schema)
-    return ranked.mapInArrow(placed, f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(placed, f"{kinds}, sequence_id long, offset long").toDF(*columns, "sequence_id", "offset")

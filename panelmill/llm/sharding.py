@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmill.llm.storage import stored
+from panelmill.llm.storage import positional, stored
 
 SHARDS = 16
 SLICE_ROWS = 8_000
@@ -50,7 +50,9 @@ def shard_rows(
     `dimensions` are non-negative numbers of each row with their emphasis, `group` names the columns that rows placed together share
     (their nulls are equal). Repeated rows stay apart, null keys are allowed, an empty table gives an empty result.
     """
-    rows = stored(rows, "shard-rows")
+    columns = rows.columns
+    rows, at = positional(stored(rows, "shard-rows"))
+    key, group, sizes_of = at[key], [at[name] for name in group], [at[name] for name in dimensions]
     names = rows.columns
     total = rows.count()
     slices = max(1, -(-total // slice_rows))
@@ -72,7 +74,7 @@ def shard_rows(
     def placed(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values([*group, "_part", key], kind="stable", ignore_index=True)
         item = part.groupby([*group, "_part"], dropna=False, sort=False).ngroup().to_numpy()
-        sizes = np.stack([np.bincount(item, weights=part[name].to_numpy(float)) for name in dimensions], axis=1)
+        sizes = np.stack([np.bincount(item, weights=part[name].to_numpy(float)) for name in sizes_of], axis=1)
         part["shard"] = place(sizes, shards, list(dimensions.values()))[item]
         part["_local"] = part.groupby("shard").cumcount().astype("int64")
         return part[[*names, "_slice", "shard", "_local"]]
@@ -86,7 +88,7 @@ def shard_rows(
     )
     return local.join(offsets, ["shard", "_slice"]).select(
         *names, "shard", (F.col("_before") + F.col("_local")).alias("slot")
-    )
+    ).toDF(*columns, "shard", "slot")
 
 
 def document_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

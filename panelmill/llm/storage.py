@@ -12,3 +12,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows with columns c0, c1, ..., and the new name of each: columns that an operator adds on the way can
+    then clash with none of the caller's."""
+    names = {name: f"c{at}" for at, name in enumerate(df.columns)}
+    return df.toDF(*names.values()), names

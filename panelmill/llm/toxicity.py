@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.llm.decontamination import words_of
+from panelmill.llm.storage import positional
 
 BITS = 20
 MAX_ROWS = 16_384
@@ -140,9 +141,10 @@ def fit(
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
     """Add the probability of label 1 to every row; only the text is looked at. Null and empty texts get the
     intercept's. Every column passes through; a column that is already named as the score is replaced."""
-    source = docs.drop(to)
+    columns = [name for name in docs.columns if name != to]
+    source, _ = positional(docs.select(*columns))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = source.columns.index(text)
+    at = columns.index(text)
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -154,10 +156,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
                 features = hashed_features(raw.as_py() or b"")
                 total = dense[np.unique(features[dense[features] != 0])].sum() if len(features) else 0.0
                 values.append(0.0 if model.intercept is None else 1 / (1 + math.exp(-min(max(total + model.intercept, -700), 700))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, to])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "score"])
 
     kinds = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in source.schema)
-    return source.mapInArrow(scored, f"{kinds}, `{to}` double")
+    return source.mapInArrow(scored, f"{kinds}, score double").toDF(*columns, to)
 
 
 def learnable(labels: DataFrame, key: str = "doc_id") -> DataFrame:

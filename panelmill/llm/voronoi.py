@@ -89,22 +89,25 @@ def _assigned(vectors: DataFrame, pivots: np.ndarray, part_rows: int, width: int
 
 
 def _needed(data: DataFrame, queries: DataFrame, pivots: np.ndarray, centres: np.ndarray, most: int) -> pd.DataFrame:
-    """For query group and data cell: the distance from the pivot up to which candidates matter (none below 0)."""
+    """For query group and data cell: the distance from the pivot from which on candidates may matter."""
     nearest = Window.partitionBy("cell").orderBy("away", "vkey")
     close = data.select("cell", "away", F.row_number().over(nearest).alias("n")).where(F.col("n") <= most).toPandas()
+    radii = data.groupBy("cell").agg(F.max("away").alias("radius")).toPandas()
+    reach = np.full(len(pivots), -1.0)
+    reach[radii["cell"]] = radii["radius"]
     widest = queries.groupBy("cell").agg(F.max("away").alias("radius"), F.max("norm").alias("norm")).toPandas()
     lengths = np.linalg.norm(pivots, axis=1)
+    cells = close["cell"].to_numpy()
     rows = []
     for group, radius, norm in widest.itertuples(index=False):
         centre = pivots @ centres[group]
-        slack = 1e-9 * (np.abs(centre) + radius * lengths).max(initial=1.0) + 1e-6
-        cells = close["cell"].to_numpy()
         lower = centre[cells] - radius * lengths[cells] - norm * close["away"].to_numpy()
         reached = np.sort(lower)[-most] if len(lower) >= most else -np.inf
-        room = centre + radius * lengths + slack - reached
-        limit = np.where(room < 0, -1.0, room / norm + 1e-6 if norm > 0 else np.inf)
-        rows += [(int(group), int(cell), float(limit[cell])) for cell in np.flatnonzero(limit >= 0)]
-    return pd.DataFrame(rows, columns=["q_cell", "cell", "limit"])
+        missing = reached - centre - radius * lengths
+        missing -= 1e-9 * (np.abs(centre) + (radius + norm) * lengths + np.abs(missing).min(initial=1.0)) + 1e-6
+        least = missing / norm if norm > 0 else np.where(missing > 0, np.inf, -np.inf)
+        rows += [(int(group), int(cell), float(least[cell])) for cell in np.flatnonzero(reach >= np.maximum(least, 0))]
+    return pd.DataFrame(rows, columns=["q_cell", "cell", "least"])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -132,8 +135,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         asking = stored(_assigned(distinct, centres, QUERIES_PER_PIVOT, width), "knn-query-groups")
         keys = ["q_cell", "q_part", "cell", "part"]
         # at most MOST_PIVOTS squared small rows
-        needed = spark.createDataFrame(_needed(grouped, asking, pivots, centres, most), "q_cell int, cell int, limit double")
-        sent = grouped.join(F.broadcast(needed) if needed.count() <= 100_000 else needed, "cell").where(F.col("away") <= F.col("limit"))
+        needed = spark.createDataFrame(_needed(grouped, asking, pivots, centres, most), "q_cell int, cell int, least double")
+        sent = grouped.join(F.broadcast(needed) if needed.count() <= 100_000 else needed, "cell").where(F.col("away") >= F.col("least"))
         q_parts = asking.select(F.col("cell").alias("q_cell"), F.col("part").alias("q_part")).distinct()
         pairs = sent.select("q_cell", "cell", "part").distinct().join(q_parts, "q_cell")
         data_side = sent.join(q_parts, "q_cell").select("q_cell", "q_part", "cell", "part", "v", "ids")
