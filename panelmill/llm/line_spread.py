@@ -103,7 +103,6 @@ def remove_boilerplate(
         "n_removed": F.when(applies, F.size(cut)).otherwise(0).cast("long"),
     }
     cleaned = F.when(applies, F.array_join(kept, "\n")).otherwise(F.col(text))
-    others = [
-        (cleaned if at[name] == text else F.col(at[name])).alias(name) for name in columns if not (report and name in counts)
-    ]
-    return joined.select(*others, *([count.alias(name) for name, count in counts.items()] if report else []))
+    report_columns = counts if report else {}
+    out = {name: cleaned if at[name] == text else F.col(at[name]) for name in columns if name not in report_columns} | report_columns
+    return joined.select(*[column.alias(f"_out{place}") for place, column in enumerate(out.values())]).toDF(*out)
