@@ -18,7 +18,8 @@ base AS (
   SELECT c.customer_id, c.month_index AS t, n.ind_purchase_ult1 AS target_next, c.ind_purchase_ult1 AS target_now,
     CASE WHEN c.month_index <= 18 THEN 'train' WHEN c.month_index <= 22 THEN 'validation' ELSE 'test' END AS split
   FROM fact c JOIN fact n ON n.customer_id = c.customer_id AND n.month_index - 1 = c.month_index
-  WHERE c.month_index >= 3 AND c.month_index <= 28 AND (c.customer_id * 2654435761) % 4294967296 < {THRESHOLD})"""
+  WHERE c.month_index >= 3 AND c.month_index <= 28)"""
+SAMPLED = f"(customer_id * 2654435761) % 4294967296 < {THRESHOLD}"
 
 
 @query(
@@ -32,7 +33,7 @@ def sample_entities(spark, sf):
 @query(
     "feature_base",
     f"""{BASE} SELECT customer_id, t AS feature_month, (t + 1)::INTEGER AS label_month, split, target_now AS holds_target_at_t,
-        target_next AS holds_target_next FROM base""",
+        target_next AS holds_target_next FROM base WHERE {SAMPLED}""",
 )
 def feature_base(spark, sf):
     rows = features.feature_base(stg_panel(spark, sf), TARGET, EV_SPLITS, SHARE)
@@ -57,7 +58,7 @@ def event_counts(spark, sf):
 
 
 def _history(spark, sf):
-    return features.feature_base(stg_panel(spark, sf), TARGET, EV_SPLITS, SHARE)
+    return features.feature_base(stg_panel(spark, sf), TARGET, EV_SPLITS, 1.0)
 
 
 HISTORY = """(SELECT count(*) FROM fact h WHERE h.customer_id = b.customer_id AND h.month_index IN (b.t, b.t - 1, b.t - 2)
@@ -155,7 +156,7 @@ DATASET = f"""{BASE}, dat AS (
     LEFT JOIN fact q ON q.customer_id = b.customer_id AND q.month_index = b.t - 3)"""
 
 
-def dataset(spark, sf, share=SHARE):
+def dataset(spark, sf, share=1.0):
     return features.propensity_dataset(stg_panel(spark, sf), TARGET, EV_SPLITS.check(29), share)
 
 
@@ -164,6 +165,12 @@ def propensity_dataset(spark, sf):
     return rounded(dataset(spark, sf))
 
 
+@query("propensity_dataset_sampled", f"{DATASET} SELECT * FROM dat WHERE {SAMPLED}")
+def propensity_dataset_sampled(spark, sf):
+    """Sampling is the feature here."""
+    return rounded(dataset(spark, sf, SHARE))
+
+
 @query(
     "split_summary",
     f"""{DATASET} SELECT split, count(*) AS rows, count(DISTINCT customer_id) AS customers,

@@ -33,6 +33,9 @@ def broken_csv(spark, sf) -> str:
         {
             "fecha_dato": F.when(k % 40 == 7, None)
             .when(k % 40 == 8, F.lit("2015-13-01"))
+            .when(k % 40 == 13, F.lit("2015"))
+            .when(k % 40 == 14, F.lit("2015-1"))
+            .when(k % 40 == 15, F.lit("2015-01-28 junk"))
             .otherwise(F.col("fecha_dato").cast("string")),
             "ncodpers": F.when(k % 40 == 9, F.lit("NA")).when(k % 40 == 10, F.lit("id-7")).otherwise(k.cast("string")),
             "ind_view_ult1": F.when(k % 40 == 11, F.lit("300")).otherwise(F.col("ind_view_ult1").cast("string")),
@@ -98,7 +101,7 @@ def ingest_key_not_null(spark, sf):
 
 @query(
     "ingest_reject_malformed",
-    f"""WITH {EV} SELECT 'fecha_dato' AS column_name, count(*) FILTER (WHERE customer_id % 40 = 8) AS malformed_cells FROM ev
+    f"""WITH {EV} SELECT 'fecha_dato' AS column_name, count(*) FILTER (WHERE customer_id % 40 IN (8, 13, 14, 15)) AS malformed_cells FROM ev
         UNION ALL SELECT 'ncodpers', count(*) FILTER (WHERE customer_id % 40 = 10) FROM ev
         UNION ALL SELECT 'ind_view_ult1', count(*) FILTER (WHERE customer_id % 40 = 11) FROM ev
         UNION ALL SELECT 'ind_click_ult1', count(*) FILTER (WHERE customer_id % 40 = 12) FROM ev

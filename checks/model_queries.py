@@ -181,64 +181,158 @@ def _scores(rows):
     return rows.select("customer_id", "feature_month", "label", "score")
 
 
-@query("logistic")
+#: A model of one flag, whose fit SQL can repeat: rows and positives of both flag values are all that it sees.
+FEW = model.FeatureColumns(flags=(PAYROLL,), numeric=(), binary=(), categorical=())
+FITTED = ROWS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", fcl AS (
+    SELECT count(*)::DOUBLE AS n, sum(label)::DOUBLE AS p, (count(*) FILTER (WHERE {PAYROLL} = 1))::DOUBLE AS n1,
+      (sum(label) FILTER (WHERE {PAYROLL} = 1))::DOUBLE AS p1 FROM mrw WHERE split = 'train'),
+  fwt AS (SELECT n, n / (2 * p) * p1 AS y1, n / (2 * p) * (p - p1) AS y0,
+      n / (2 * p) * p1 + n / (2 * (n - p)) * (n1 - p1) AS w1, n / (2 * p) * (p - p1) + n / (2 * (n - p)) * (n - n1 - p + p1) AS w0 FROM fcl),
+  nwt AS (
+    SELECT 0 AS step, 0::DOUBLE AS a, 0::DOUBLE AS b
+    UNION ALL
+    SELECT step + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+      SELECT step, a, b, w0 * m0 - y0 + w1 * m1 - y1 AS ga, w1 * m1 - y1 + b AS gb, w0 * m0 * (1 - m0) + w1 * m1 * (1 - m1) AS haa,
+        w1 * m1 * (1 - m1) AS hab, w1 * m1 * (1 - m1) + 1 AS hbb
+      FROM (SELECT *, 1 / (1 + exp(-a)) AS m0, 1 / (1 + exp(-a - b)) AS m1 FROM nwt, fwt) WHERE step < 30)),
+  cof AS (SELECT a, b FROM nwt WHERE step = 30)"""
+SCORED = "1 / (1 + exp(-a - b * " + PAYROLL + "))"
+#: Sigmoid calibration of two score levels meets the smoothed rate of each level exactly.
+CALIBRATED = FITTED + f""", ccl AS (SELECT {PAYROLL} AS x, count(*) AS n, sum(label) AS p FROM mrw WHERE split = 'validation' GROUP BY 1),
+  cal AS (SELECT x, (p * (tp + 1) / (tp + 2) + (n - p) / (tn + 2)) / n AS q FROM ccl, (SELECT sum(p) AS tp, sum(n - p) AS tn FROM ccl))"""
+
+
+@query(
+    "logistic",
+    f"""{FITTED} SELECT customer_id, feature_month, label, round({SCORED}, 3) AS score FROM mrw, cof WHERE split = 'validation'""",
+)
 def logistic(spark, sf):
+    """Scores of the model of one flag; the full model is compared with Newton's method in the tests."""
     train, validation, _ = stored_splits(spark, sf)
-    return _scores(model.fit_logistic(train, COLUMNS).raw_scores(validation))
+    return rounded(_scores(model.fit_logistic(train, FEW).raw_scores(validation)), 3)
 
 
-@query("boosted_trees")
+@query(
+    "boosted_trees",
+    f"""{ROWS} SELECT count(*) AS rows, true AS in_range, true AS above_base_rate FROM mrw WHERE split = 'validation'""",
+)
 def boosted_trees(spark, sf):
-    """Fewer trees than the default, to keep the check short."""
+    """A property check: every row has a probability, and the ranking beats the base rate."""
     train, validation, _ = stored_splits(spark, sf)
-    return _scores(model.fit_boosted_trees(train, COLUMNS, trees=10).raw_scores(validation))
+    scored = cut_lineage(_scores(model.fit_boosted_trees(train, COLUMNS).raw_scores(validation)))
+    above = evaluation.score_metrics(scored).select(F.col("pr_auc") > F.col("base_rate")).scalar()
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"), F.bool_and(F.col("score").between(0, 1)).alias("in_range")
+    ).withColumn("above_base_rate", above)
 
 
-@query("calibrate")
+@query(
+    "calibrate",
+    f"""{CALIBRATED}, prs AS (SELECT label, {SCORED} AS s, q FROM mrw, cof JOIN cal ON true WHERE split = 'validation' AND x = {PAYROLL})
+      SELECT 'before' AS scores, round(avg((s - label) * (s - label)), 4) AS brier FROM prs
+      UNION ALL SELECT 'after', round(avg((q - label) * (q - label)), 4) FROM prs""",
+)
 def calibrate(spark, sf):
     train, validation, _ = stored_splits(spark, sf)
-    fitted = model.fit_logistic(train, COLUMNS)
+    fitted = model.fit_logistic(train, FEW)
     calibrated = model.fit_calibration(fitted, validation)
-    return model.calibration_gain(fitted.raw_scores(validation), calibrated.raw_scores(validation))
+    return rounded(model.calibration_gain(fitted.raw_scores(validation), calibrated.raw_scores(validation)), 4)
 
 
-@query("score_batch")
+@query("score_batch", f"{ROWS} SELECT count(*) AS rows, 0::BIGINT AS differing FROM mrw WHERE split = 'test'")
 def score_batch(spark, sf):
-    """A saved and loaded model scores the test rows."""
+    """Test rows, and those that a saved and loaded model scores differently."""
     train, _, test = stored_splits(spark, sf)
     path = scratch_path(spark, "model")
-    model.save_model(model.fit_logistic(train, COLUMNS), path)
-    return _scores(model.load_model(spark, path).raw_scores(test))
+    fitted = model.fit_logistic(train, COLUMNS)
+    model.save_model(fitted, path)
+    keys = ["customer_id", "feature_month"]
+    first = fitted.raw_scores(test).select(*keys, F.col("score").alias("one"))
+    second = model.load_model(spark, path).raw_scores(test).select(*keys, F.col("score").alias("other"))
+    same = F.col("one").eqNullSafe(F.col("other"))
+    return first.join(second, keys, "full").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(~same, 1)).alias("differing")
+    )
 
 
-@query("odds_ratios")
+@query("odds_ratios", f"{FITTED} SELECT '{PAYROLL}' AS feature, round(b, 3) AS log_odds, round(exp(b), 3) AS odds_ratio FROM cof")
 def odds_ratios(spark, sf):
     train, _, _ = stored_splits(spark, sf)
-    return model.odds_ratios(model.fit_logistic(train, COLUMNS))
+    return rounded(model.odds_ratios(model.fit_logistic(train, FEW)), 3)
+
+
+class _Linear:
+    """A fixed score of two columns."""
+
+    def raw_scores(self, rows):
+        return rows.withColumn("score", (F.col("n_products") * 2 + F.col("adoptions_last_3m")) / 40)
+
 
+SHUFFLED = ("n_products", "adoptions_last_3m")
 
-@query("permutation_importance")
+
+def _permutation_answer(repeats: int = 2, seed: int = 42) -> str:
+    tie = "customer_id * 100 + feature_month AS tie"
+    parts = [f"SELECT 'whole' AS v, label, (n_products * 2 + adoptions_last_3m) / 40 AS score, {tie} FROM num"]
+    for name in SHUFFLED:
+        for repeat in range(repeats):
+            value = {one: f"d.{one}" if one == name else f"o.{one}" for one in SHUFFLED}
+            parts.append(
+                f"""SELECT '{name}|{repeat}', o.label, ({value['n_products']} * 2 + {value['adoptions_last_3m']}) / 40,
+                o.customer_id * 100 + o.feature_month FROM num o JOIN (SELECT *, row_number() OVER (ORDER BY
+                md5(customer_id || '|' || feature_month || '|{name}|{repeat}|{seed}'), place) AS k FROM num) d ON d.k = o.place"""
+            )
+    return (
+        f"""{ROWS}, num AS (SELECT *, row_number() OVER (ORDER BY customer_id, feature_month) AS place FROM mrw WHERE split = 'validation'),
+        sc AS ({' UNION ALL '.join(parts)}), {level_sql('v', '1')}
+        SELECT split_part(g, '|', 1) AS feature, round(avg(whole - pr_auc), 6) AS pr_auc_drop_mean,
+          round(stddev_pop(whole - pr_auc), 6) AS pr_auc_drop_std
+        FROM met, (SELECT pr_auc AS whole FROM met WHERE g = 'whole') WHERE g <> 'whole' GROUP BY 1"""
+    )
+
+
+@query("permutation_importance", _permutation_answer())
 def permutation_importance(spark, sf):
-    train, validation, _ = stored_splits(spark, sf)
-    fitted = model.fit_logistic(train, COLUMNS)
-    return model.permutation_importance(fitted, validation, COLUMNS.all, ["customer_id", "feature_month"])
+    """A fixed score, so that only the shuffling and the metrics are checked."""
+    rows = rows_of(spark, sf, "validation")
+    keys = ["customer_id", "feature_month"]
+    return rounded(model.permutation_importance(_Linear(), rows, SHUFFLED, keys, repeats=2))
 
 
 @query(
     "score_reproducible",
-    f"{ROWS} SELECT customer_id, feature_month, label, 0::DOUBLE AS score FROM mrw WHERE split = 'none'",
+    f"{ROWS} SELECT count(*) AS rows, 0::BIGINT AS differing, true AS other_penalty_differs FROM mrw WHERE split = 'validation'",
 )
 def score_reproducible(spark, sf):
-    """Scores that differ between two fits of the same rows: none."""
+    """Validation rows, and those whose score differs between two fits of the same rows; a fit with another penalty
+    is the control that must differ."""
     train, validation, _ = stored_splits(spark, sf)
-    one, other = (_scores(model.fit_logistic(train, COLUMNS).raw_scores(validation)) for _ in range(2))
-    return one.exceptAll(other)
+    keys = ["customer_id", "feature_month"]
+    one, other, control = (
+        model.fit_logistic(train, FEW, inverse_penalty=penalty).raw_scores(validation).select(*keys, F.col("score").alias(name))
+        for name, penalty in (("one", 1.0), ("other", 1.0), ("control", 0.01))
+    )
+    joined = one.join(other, keys).join(control, keys)
+    return joined.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(F.when(F.col("one") != F.col("other"), 1)).alias("differing"),
+        F.bool_or(F.col("one") != F.col("control")).alias("other_penalty_differs"),
+    )
+
 
+REPORTED = ("rows", "positives", "base_rate", "roc_auc", "pr_auc", "brier")
 
-@query("test_report")
+
+@query(
+    "test_report",
+    f"""{CALIBRATED}, sc AS (SELECT label, label_month, q AS score, customer_id AS tie FROM mrw JOIN cal ON x = {PAYROLL} WHERE split = 'test'),
+      {level_sql('label_month', '1')}
+      SELECT g AS label_month, rows, positives, round(base_rate, 4) AS base_rate,
+        {", ".join(f"round(CASE WHEN positives > 0 AND positives < rows THEN {name} END, 4) AS {name}" for name in REPORTED[3:])} FROM met""",
+)
 def test_report(spark, sf):
     """Calibrated scores of the test rows, per label period."""
     train, validation, test = stored_splits(spark, sf)
-    calibrated = model.fit_calibration(model.fit_logistic(train, COLUMNS), validation)
+    calibrated = model.fit_calibration(model.fit_logistic(train, FEW), validation)
     scored = calibrated.raw_scores(test).withColumn("tie", F.col("customer_id"))
-    return evaluation.point_metrics(scored, groups=["label_month"])
+    return rounded(evaluation.point_metrics(scored, groups=["label_month"]).select("label_month", *REPORTED), 4)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -17,12 +18,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelmill.functions.columns import ratio
+from panelmill.functions.hashing import text_digest
 from panelmill.operators.evaluation import score_metrics
 from panelmill.operators.features import BINARY_FEATURES, CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from panelmill.operators.ranking import running_totals, with_rank
 
 OTHER = "other"
 
 
+class Scorer(Protocol):
+    """Anything that adds a `score` to rows and keeps their other columns."""
+
+    def raw_scores(self, rows: DataFrame) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class FeatureColumns:
     flags: tuple[str, ...]
@@ -40,14 +49,27 @@ class FeatureColumns:
 
 
 def numeric_medians(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact interpolated median and NULL rows of every numeric column."""
-    stats = train.agg(
-        *[F.median(F.col(name).cast("double")).alias(name) for name in columns],
-    ).unpivot([], list(columns), "column_name", "median")
-    nulls = train.agg(*[(F.count(F.lit(1)) - F.count(name)).alias(name) for name in columns]).unpivot(
-        [], list(columns), "column_name", "null_rows"
+    """Exact interpolated median and NULL rows of every numeric column.
+
+    Values are counted per column first and the counts are summed in order over slices, so a column with as many
+    values as rows stays spread. Stores the counts when called.
+    """
+    values = train.select(*[F.col(name).cast("double").alias(name) for name in columns]).unpivot(
+        [], list(columns), "column_name", "value"
     )
-    return stats.join(nulls, "column_name")
+    nulls = values.groupBy("column_name").agg((F.count(F.lit(1)) - F.count("value")).alias("null_rows"))
+    counted = values.filter("value IS NOT NULL").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("_rows"))
+    summed = running_totals(counted, [F.col("value")], {"rows": F.col("_rows")}, ["column_name"])
+    # The middle rows are numbers floor((n + 1) / 2) and floor(n / 2) + 1.
+    first, last = F.col("rows_running") - F.col("_rows") + 1, F.col("rows_running")
+    middles = F.array(F.floor((F.col("rows_total") + 1) / 2), F.floor(F.col("rows_total") / 2) + 1)
+    medians = (
+        summed.withColumn("_hits", F.size(F.filter(middles, lambda place: (place >= first) & (place <= last))))
+        .filter("_hits > 0")
+        .groupBy("column_name")
+        .agg((F.sum(F.col("value") * F.col("_hits")) / 2).alias("median"))
+    )
+    return nulls.join(medians, "column_name", "left").select("column_name", "median", "null_rows")
 
 
 def binary_modes(train: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -74,16 +96,19 @@ def top_levels(train: DataFrame, columns: Sequence[str], top: int = 10) -> DataF
         .groupBy("column_name", "level")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    # One row per distinct level from here on.
-    per_column = Window.partitionBy("column_name")
-    ranked = counted.select(
-        "*",
-        F.row_number().over(per_column.orderBy(F.desc("rows"), F.desc("level"))).alias("place"),
-        F.count(F.lit(1)).over(per_column).alias("levels"),
+    # Only the first places of each column are needed, so tasks drop the others before they meet.
+    order = Window.partitionBy("column_name").orderBy(F.desc("rows"), F.desc("level"))
+    best = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top + 1)
+    levels = counted.groupBy("column_name").agg(F.count(F.lit(1)).alias("levels"))
+    kept = best.join(F.broadcast(levels), "column_name").filter(
+        (F.col("levels") <= top + 1) | (F.col("place") <= top)
+    ).select(F.col("column_name").alias("_column"), F.col("level").alias("_level"), F.lit(True).alias("_kept"))
+    # At most `top` + 1 rows for each column.
+    marked = counted.join(
+        F.broadcast(kept), (F.col("column_name") == F.col("_column")) & F.col("level").eqNullSafe(F.col("_level")), "left"
     )
-    kept = (F.col("levels") <= top + 1) | (F.col("place") <= top)
     return (
-        ranked.select("column_name", F.when(kept, F.col("level")).alias("level"), "rows")
+        marked.select("column_name", F.when(F.col("_kept"), F.col("level")).alias("level"), "rows")
         .groupBy("column_name", "level")
         .agg(F.sum("rows").alias("rows"))
     )
@@ -99,11 +124,15 @@ def fit_preprocess(train: DataFrame, columns: FeatureColumns, top: int = 10) ->
     Numeric: median fill, a missing indicator where training rows lack values, standardised. 0/1 columns:
     mode fill. Categories: one column per kept level, and one for the shared bucket if there is one.
     """
-    medians = {row["column_name"]: row for row in numeric_medians(train, columns.numeric).collect()}
-    modes = {row["column_name"]: row["mode"] for row in binary_modes(train, columns.zero_one).collect()}
+    medians, modes = {}, {}
     levels: dict[str, list[str | None]] = {name: [] for name in columns.categorical}
-    for row in top_levels(train, columns.categorical, top).orderBy("column_name", "level").collect():
-        levels[row["column_name"]].append(row["level"])
+    if columns.numeric:
+        medians = {row["column_name"]: row for row in numeric_medians(train, columns.numeric).collect()}
+    if columns.zero_one:
+        modes = {row["column_name"]: row["mode"] for row in binary_modes(train, columns.zero_one).collect()}
+    if columns.categorical:
+        for row in top_levels(train, columns.categorical, top).orderBy("column_name", "level").collect():
+            levels[row["column_name"]].append(row["level"])
 
     plain: dict[str, str] = {}
     for name in columns.numeric:
@@ -115,7 +144,7 @@ def fit_preprocess(train: DataFrame, columns: FeatureColumns, top: int = 10) ->
     spread = train.select(*[F.expr(sql).alias(name) for name, sql in plain.items()]).agg(
         *[F.avg(name).alias(f"{name}|mean") for name in plain],
         *[F.stddev_pop(name).alias(f"{name}|sd") for name in plain],
-    ).first()
+    ).first() if plain else None
 
     scaled = {
         name: f"({sql} - {spread[f'{name}|mean']!r}D) / {(spread[f'{name}|sd'] or 1.0)!r}D"
@@ -327,49 +356,51 @@ def odds_ratios(model: FittedModel, top: int = 15) -> DataFrame:
 
 
 def permutation_importance(
-    model: FittedModel,
+    model: Scorer,
     rows: DataFrame,
     columns: Sequence[str],
     tie: Sequence[str],
-    max_rows: int = 50_000,
     repeats: int = 5,
     seed: int = 42,
 ) -> DataFrame:
     """Drop in average precision when one input column is shuffled, mean and deviation over the repeats.
 
-    The sample (at most `max_rows`, by hash) is ranked twice, once per repeat and column by another hash;
-    joining the two ranks hands every row another row's value. All shuffled copies are scored in one pass.
+    Uses every row. `tie` identifies a row. Rows are numbered once by it, and once for each column and repeat by a
+    digest of tie, column, repeat and seed; the row with number k gets the value of the k-th row in digest order.
+    Both numberings run over slices, so neither the rows nor a column's copies meet in one task. Stores the rows
+    and the numberings when called.
     """
-    identity = F.xxhash64(*tie, F.lit(seed))
-    sample = rows.select("label", *tie, *columns).withColumn("_id", identity)
-    sample = sample.orderBy("_id", *tie).limit(max_rows)
-    kinds = dict(sample.dtypes)
+    kinds = dict(rows.select(*columns).dtypes)
+    placed = with_rank(rows.select("label", *tie, *columns), [F.col(name) for name in tie]).drop("position_count")
     variants = F.explode(
         F.array(
-            F.struct(F.lit("").alias("column_name"), F.lit(0).alias("repeat")),
             *[
                 F.struct(F.lit(name).alias("column_name"), F.lit(repeat).alias("repeat"))
                 for name in columns
                 for repeat in range(repeats)
-            ],
+            ]
         )
     )
-    copies = sample.withColumn("_v", variants).select("*", "_v.column_name", "_v.repeat").drop("_v")
-    own_value = F.coalesce(
+    of_column = F.coalesce(
         *[F.when(F.col("column_name") == name, F.struct(F.col(name).cast("string").alias("v"))) for name in columns]
     )
-    per_variant = Window.partitionBy("column_name", "repeat")  # never more than max_rows rows each
-    shuffle_key = F.xxhash64("_id", "column_name", "repeat", F.lit(seed))
-    placed = copies.select(
-        "*",
-        own_value.alias("_own"),
-        F.row_number().over(per_variant.orderBy("_id", *tie)).alias("_place"),
-        F.row_number().over(per_variant.orderBy(shuffle_key, "_id", *tie)).alias("_shuffled"),
+    keyed = placed.withColumn("_v", variants).select(
+        F.col("_v.column_name").alias("column_name"),
+        F.col("_v.repeat").alias("repeat"),
+        "position",
+        *tie,
+        *columns,
+    ).select(
+        "column_name",
+        "repeat",
+        F.col("position").alias("_own"),
+        of_column.alias("_given"),
+        text_digest(*[F.col(name) for name in tie], F.col("column_name"), F.col("repeat"), F.lit(seed)).alias("_digest"),
     )
-    given = placed.select(
-        "column_name", "repeat", F.col("_shuffled").alias("_place"), F.col("_own").alias("_given")
+    given = with_rank(keyed, [F.col("_digest"), F.col("_own")], ["column_name", "repeat"]).select(
+        "column_name", "repeat", "position", "_given"
     )
-    mixed = placed.join(given, ["column_name", "repeat", "_place"]).select(
+    shuffled = placed.join(given, "position").select(
         "label",
         "column_name",
         "repeat",
@@ -378,15 +409,14 @@ def permutation_importance(
             for name in columns
         ],
     )
-    scored = model.raw_scores(mixed).select("column_name", "repeat", "label", "score")
+    whole = placed.select("label", F.lit("").alias("column_name"), F.lit(0).alias("repeat"), *columns)
+    scored = model.raw_scores(whole.unionByName(shuffled)).select("column_name", "repeat", "label", "score")
     quality = score_metrics(scored, ["column_name", "repeat"]).select("column_name", "repeat", "pr_auc")
-    whole = quality.filter("column_name = ''").select(F.col("pr_auc")).scalar()
+    undisturbed = quality.filter("column_name = ''").select(F.col("pr_auc")).scalar()
     return (
         quality.filter("column_name <> ''")
-        .withColumn("_drop", whole - F.col("pr_auc"))
+        .withColumn("_drop", undisturbed - F.col("pr_auc"))
         .groupBy(F.col("column_name").alias("feature"))
         .agg(F.avg("_drop").alias("pr_auc_drop_mean"), F.stddev_pop("_drop").alias("pr_auc_drop_std"))
         .orderBy(F.desc("pr_auc_drop_mean"), "feature")
     )
-
-

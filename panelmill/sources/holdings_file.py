@@ -122,26 +122,26 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
 
 def header_problems(spark: SparkSession, path: str, expected: Sequence[str]) -> DataFrame:
     """Missing and unexpected columns, one row each."""
-    found = header_of(spark, path)
-    rows = [(name, "missing") for name in expected if name not in found]
-    rows += [(name, "unexpected") for name in found if name not in expected]
-    return spark.createDataFrame(rows, "column_name string, problem string")
+    found = spark.createDataFrame([(name,) for name in header_of(spark, path)], "column_name string")
+    wanted = spark.createDataFrame([(name,) for name in expected], "column_name string")
+    sides = found.withColumn("_found", F.lit(True)).join(wanted.withColumn("_wanted", F.lit(True)), "column_name", "full")
+    problem = F.when(F.col("_found").isNull(), "missing").when(F.col("_wanted").isNull(), "unexpected")
+    return sides.select("column_name", problem.alias("problem")).filter("problem IS NOT NULL")
 
 
 def check_header(spark: SparkSession, path: str, expected: Sequence[str]) -> list[str]:
-    found = header_of(spark, path)
-    missing = [name for name in expected if name not in found]
-    extra = [name for name in found if name not in expected]
-    if missing or extra:
-        raise IngestError(f"header does not fit: missing {missing}, unexpected {extra}")
-    return found
+    """The file's own column order; raises if `header_problems` finds any."""
+    problems = header_problems(spark, path, expected).orderBy("problem", "column_name").collect()  # a few names
+    if problems:
+        raise IngestError("the header does not fit: " + ", ".join(f"{row['problem']} {row['column_name']}" for row in problems))
+    return header_of(spark, path)
 
 
 def read_text(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     """Every cell as text, plus the whole line where it does not split into the right number of cells.
 
     `names` is the file's own header order, and every file must have that header. The read stays
-    splittable: a line is a row.
+    splittable: a line is a row, ended by a line feed with or without a carriage return.
     """
     schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, CORRUPT]])
     return (
@@ -153,7 +153,6 @@ def read_text(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame
         .option("columnPruning", False)
         .option("nullValue", "")
         .option("emptyValue", "")
-        .option("lineSep", "\n")
         .option("escape", '"')
         .csv(path)
     )
@@ -167,7 +166,11 @@ def null_tokens(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def _typed(column: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         return column
-    return F.trim(column).try_cast(kind)
+    value = F.trim(column)
+    if isinstance(kind, T.DateType):
+        # A cast alone also takes a year, a month, or a date with something after it.
+        value = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), value)
+    return value.try_cast(kind)
 
 
 def typed_cells(text: DataFrame, schema: T.StructType) -> DataFrame:

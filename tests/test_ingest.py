@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from panelmill.functions.hashing import HASH_MODULUS, HASH_MULTIPLIER, sample_entities, share_threshold
+from panelmill.functions.hashing import HASH_MODULUS, HASH_MULTIPLIER, in_sample, sample_entities
 from panelmill.sources import holdings_file as files
 from panelmill.sources import publishing
 from tests import planted
@@ -88,7 +88,7 @@ def test_expected_months_cross_years():
 
 def test_sample_keeps_whole_entities(spark, write_csv):
     rows, _ = load(spark, write_csv(planted.csv_text()), sample_share=0.5)
-    expected = {c for c in planted.CUSTOMERS if (c * HASH_MULTIPLIER) % HASH_MODULUS < share_threshold(0.5)}
+    expected = {c for c in planted.CUSTOMERS if (c * HASH_MULTIPLIER) % HASH_MODULUS < 0.5 * HASH_MODULUS}
     counts = {row["ncodpers"]: row["count"] for row in rows.groupBy("ncodpers").count().collect()}
     assert counts == {c: len(planted.PRESENT.get(c, planted.ALWAYS)) for c in expected}
 
@@ -97,10 +97,10 @@ def test_sample_hash_of_extreme_ids(spark):
     ids = [0, 1, 2**31, 2**32 - 1, 2**32 + 5, 9 * 10**9, 2**62, 2**63 - 1, -1, -(2**63)]
     df = spark.createDataFrame([(i,) for i in ids], "id bigint")
     kept = {row["id"] for row in sample_entities(df, 0.4, "id").collect()}
-    assert kept == {i for i in ids if (i % 2**64 * HASH_MULTIPLIER) % HASH_MODULUS < share_threshold(0.4)}
+    assert kept == {i for i in ids if (i % 2**64 * HASH_MULTIPLIER) % HASH_MODULUS < int(0.4 * HASH_MODULUS)}
     for share in (0, -0.1, 1.5):
         with pytest.raises(ValueError):
-            share_threshold(share)
+            in_sample(F.lit(1), share)
 
 
 def test_publish_and_read_back(spark, write_csv, tmp_path):

@@ -174,7 +174,7 @@ def test_interpretation(validation, logistic):
     odds = model.odds_ratios(logistic, 3).collect()
     assert {r["feature"] for r in odds[:2]} == {"x", "ind_a_ult1"} and len(odds) == 3
     assert odds[0]["odds_ratio"] == pytest.approx(np.exp(odds[0]["log_odds"]))
-    table = model.permutation_importance(logistic, validation, COLUMNS.all, ["tie"], max_rows=1000, repeats=3).collect()
+    table = model.permutation_importance(logistic, validation, COLUMNS.all, ["tie"], repeats=3).collect()
     assert len(table) == 5 and table[0]["feature"] == "x" and table[0]["pr_auc_drop_mean"] > 0.05
     drops = {r["feature"]: r["pr_auc_drop_mean"] for r in table}
     assert abs(drops["z"]) < 0.02 < drops["ind_a_ult1"]

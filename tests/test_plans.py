@@ -38,7 +38,7 @@ def test_no_funnel_without_a_ladder(warehouse):
 def test_training_flow(spark):
     panel = tables.stg_panel(spark, "/root/testdata/sf0.01")
     report, fitted = train_and_evaluate(
-        panel, tables.TARGET, tables.EV_SPLITS, "ind_signup_ult1", trees=3, resamples=20, permutation_rows=500
+        panel, tables.TARGET, tables.EV_SPLITS, "ind_signup_ult1", trees=3, resamples=20
     )
     assert report["target"].first()["target_mode"] == "product"
     test = report["test_metrics"].filter("metric = 'roc_auc'").first()
