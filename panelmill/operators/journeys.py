@@ -162,19 +162,16 @@ def ladder_proposal(penetration: DataFrame, pairs: DataFrame, max_steps: int = P
     most often adopted right after any product already on it. A handful of rounds over the small
     product-by-product table; Spark sums, the loop only remembers the chosen codes."""
     spark = penetration.sparkSession
-    latest = penetration.agg(F.max("month_label").alias("month_label"))
-    start = (
-        penetration.join(latest, "month_label")
-        .orderBy(F.desc("penetration"), "product_code")
-        .select("product_code", "product_name")
-        .limit(1)
-        .collect()
-    )
     schema = "step int, product_code string, product_name string, transitions_from_ladder bigint"
-    if not start:
+    # One row per catalogue product: its name and its share in the latest period it has one.
+    latest = penetration.groupBy("product_code", "product_name").agg(
+        F.max(F.struct("month_label", "penetration")).alias("_last")
+    ).select("product_code", "product_name", F.col("_last.month_label").alias("month_label"), F.col("_last.penetration").alias("penetration")).collect()
+    if not latest:
         return spark.createDataFrame([], schema)
-    names = {row["product_code"]: row["product_name"] for row in penetration.select(
-        "product_code", "product_name").distinct().collect()}  # one row per catalogue product
+    names = {row["product_code"]: row["product_name"] for row in latest}
+    month = max(row["month_label"] for row in latest)
+    start = sorted((row for row in latest if row["month_label"] == month), key=lambda row: (-row["penetration"], row["product_code"]))
     chosen = [(1, start[0]["product_code"], start[0]["product_name"], None)]
     small = pairs.select("from_product", "to_product", "transitions").persist()
     try:

@@ -34,12 +34,14 @@ def invalid_flags(stg: DataFrame, pattern: str = FLAG_PATTERN) -> DataFrame:
 
 def row_count_mismatch(stg: DataFrame, fact: DataFrame, entities: DataFrame, periods: DataFrame) -> DataFrame:
     """Star schema tables whose size does not follow from the staging table."""
-    expected = stg.agg(
-        F.count(F.lit(1)).alias("fact_monthly_holdings"),
-        F.count_distinct(ENTITY).alias("dim_customer"),
-        F.count_distinct(PERIOD).alias("dim_month"),
-    ).unpivot(
-        [], ["fact_monthly_holdings", "dim_customer", "dim_month"], "table_name", "expected_rows"
+    # Both keys are counted from the (entity, period) groups, which are combined before the shuffle.
+    keys = stg.groupBy(ENTITY, PERIOD).agg(F.count(F.lit(1)).alias("_rows"))
+    entities_of = keys.groupBy(ENTITY).agg(F.sum("_rows").alias("_rows")).agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("fact_monthly_holdings"), F.count(ENTITY).alias("dim_customer")
+    )
+    periods_of = stg.groupBy(PERIOD).agg(F.count(F.lit(1)).alias("_rows")).agg(F.count(PERIOD).alias("dim_month"))
+    expected = entities_of.unpivot([], ["fact_monthly_holdings", "dim_customer"], "table_name", "expected_rows").unionByName(
+        periods_of.unpivot([], ["dim_month"], "table_name", "expected_rows")
     )
     actual = table_row_counts({"fact_monthly_holdings": fact, "dim_customer": entities, "dim_month": periods})
     return (

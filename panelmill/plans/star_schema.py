@@ -1,16 +1,27 @@
-"""The warehouse stage: staged panel, dimensions and fact, stored once and clustered by entity."""
+"""The warehouse stage: staged panel, dimensions, fact and changes, stored once as one version.
+
+Which plan reads what: entity windows and joins on the entity read `fact`, which is bucketed and sorted by entity, so
+they need no shuffle; results of one period read `by_month`, which has a folder per period; event results read the
+stored `changes`. A version is visible once its row is appended to the list of builds, so a failed rebuild leaves the
+last good warehouse in place.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelmill.operators.events import flag_changes
 from panelmill.operators.staging import stage_snapshots
 from panelmill.operators.warehouse import dim_entity, dim_period, dim_product, fact_panel, table_row_counts
 from panelmill.schema import ENTITY, PERIOD, Catalogue
 
+BUCKETS = 32
+
 
 @dataclass(frozen=True)
 class Warehouse:
@@ -21,6 +32,8 @@ class Warehouse:
     periods: DataFrame
     catalogue: Catalogue
     first_month: dt.date
+    by_month: DataFrame | None = None
+    changes: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -43,23 +56,52 @@ def star_schema(spark: SparkSession, stg: DataFrame, catalogue: Catalogue, first
 
 
 def build_warehouse(
-    spark: SparkSession, raw: DataFrame, catalogue: Catalogue, first_month: dt.date, path: str
+    spark: SparkSession, raw: DataFrame, catalogue: Catalogue, first_month: dt.date, path: str, buckets: int = BUCKETS
 ) -> Warehouse:
-    """Stage the raw rows and store every table below `path`.
+    """Stage the raw rows and store every table as a new version below `path`.
 
-    The staged panel is shuffled once, by entity, and stored sorted by entity and period; the tables that
-    group or window by entity then start from files in which an entity's rows lie together. Rebalancing may
-    cut one very large entity into several files; that costs locality, never correctness.
+    `buckets` should be so many that a bucket of the fact fits into a task. The rows are shuffled by entity once for
+    the staged panel and once for the bucketed fact; the changes then come from the fact without another shuffle.
     """
+    version = uuid.uuid4().hex
+    folder = f"{path}/versions/{version}"
     staged = stage_snapshots(raw, first_month)
-    staged.hint("rebalance", ENTITY).sortWithinPartitions(ENTITY, PERIOD).write.mode("overwrite").parquet(f"{path}/stg")
-    stg = spark.read.parquet(f"{path}/stg")
-    plan = star_schema(spark, stg, catalogue, first_month)
-    for name in ("fact", "entities", "periods", "products"):
-        getattr(plan, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    staged.hint("rebalance", ENTITY).sortWithinPartitions(ENTITY, PERIOD).write.parquet(f"{folder}/stg")
+    plan = star_schema(spark, spark.read.parquet(f"{folder}/stg"), catalogue, first_month)
+    plan.fact.repartition(buckets, ENTITY).write.bucketBy(buckets, ENTITY).sortBy(ENTITY, PERIOD).option(
+        "path", f"{folder}/fact"
+    ).saveAsTable(_fact_name(version))
+    fact = spark.table(_fact_name(version))
+    fact.hint("rebalance", PERIOD).write.partitionBy(PERIOD).parquet(f"{folder}/fact_by_month")
+    flag_changes(fact).write.parquet(f"{folder}/changes")
+    for name in ("entities", "periods", "products"):
+        getattr(plan, name).write.parquet(f"{folder}/{name}")
+    build = spark.range(1).select(F.lit(version).alias("version"), F.lit(buckets).alias("buckets"), F.current_timestamp().alias("built_at"))
+    build.coalesce(1).write.mode("append").json(f"{path}/builds")
+    return open_warehouse(spark, catalogue, first_month, path)
+
+
+def open_warehouse(spark: SparkSession, catalogue: Catalogue, first_month: dt.date, path: str) -> Warehouse:
+    """The newest complete version below `path`."""
+    newest = spark.read.json(f"{path}/builds").orderBy(F.desc("built_at"), "version").first()
+    folder, name = f"{path}/versions/{newest['version']}", _fact_name(newest["version"])
+    stored = spark.read.parquet(f"{folder}/fact")
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in stored.schema)
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({ENTITY}) SORTED BY ({ENTITY}, {PERIOD}) "
+            f"INTO {newest['buckets']} BUCKETS LOCATION '{folder}/fact'"
+        )
     return Warehouse(
-        stg,
-        *[spark.read.parquet(f"{path}/{name}") for name in ("fact", "entities", "products", "periods")],
+        spark.read.parquet(f"{folder}/stg"),
+        spark.table(name),
+        *[spark.read.parquet(f"{folder}/{table}") for table in ("entities", "products", "periods")],
         catalogue,
         first_month,
+        spark.read.schema(stored.schema).parquet(f"{folder}/fact_by_month"),
+        spark.read.parquet(f"{folder}/changes"),
     )
+
+
+def _fact_name(version: str) -> str:
+    return f"panelmill_fact_{version}"

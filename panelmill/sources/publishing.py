@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelmill.sources.holdings_file import IngestError
+from panelmill.schema import Catalogue
+from panelmill.sources.holdings_file import ENTITY_COLUMN, HOLDINGS_CATALOGUE, IngestError, load_checked
 
 MANIFEST_VERSION = 1
 
@@ -141,8 +142,13 @@ def publish(
     sample_share: float | None = None,
     expected_rows: int | None = None,
     expected_periods: Sequence[str] | None = None,
+    source_files: Sequence[Mapping[str, object]] = (),
 ) -> dict[str, object]:
-    """Write a new version, read it back, check it, and only then commit its manifest row."""
+    """Write a new version, read it back, check it, and only then commit its manifest row.
+
+    The row also lists the stored files and the fingerprints of the source files (one entry per file), which tell
+    later whether the version is still current.
+    """
     spark = rows.sparkSession
     version = uuid.uuid4().hex
     write_by_period(rows, f"{root}/versions/{version}", period)
@@ -153,14 +159,18 @@ def publish(
         raise IngestError(f"{entry['rows']} rows were stored, {expected_rows} expected")
     if expected_periods is not None and found != list(expected_periods):
         raise IngestError(f"periods {found} were stored, {list(expected_periods)} expected")
-    row = manifest(stored, entity, period, sample_share).select(
-        "*",
-        F.lit(version).alias("version"),
-        F.lit(rows.schema.json()).alias("row_schema"),
-        F.current_timestamp().alias("published_at"),
-    )
+    files = [row.asDict() for row in stored_files(spark, f"{root}/versions/{version}").orderBy("file").collect()]
+    entry |= {
+        "version": version,
+        "row_schema": rows.schema.json(),
+        "source_rows": expected_rows,
+        "source_files": list(source_files),
+        "files": files,
+        "bytes": sum(file["bytes"] for file in files),
+    }
+    row = spark.createDataFrame([(json.dumps(entry),)], "entry string").withColumn("published_at", F.current_timestamp())
     row.coalesce(1).write.mode("append").json(f"{root}/manifest")
-    return {**entry, "version": version}
+    return entry
 
 
 def published_version(spark: SparkSession, root: str) -> dict[str, object] | None:
@@ -171,8 +181,8 @@ def published_version(spark: SparkSession, root: str) -> dict[str, object] | Non
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
             return None
         raise
-    newest = rows.orderBy(F.desc("published_at"), "version").limit(1).collect()
-    return newest[0].asDict(recursive=True) if newest else None
+    newest = rows.orderBy(F.desc("published_at"), "entry").limit(1).collect()
+    return json.loads(newest[0]["entry"]) if newest else None
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame:
@@ -182,3 +192,36 @@ def read_published(spark: SparkSession, root: str) -> DataFrame:
         raise IngestError(f"nothing is published in {root}")
     schema = T.StructType.fromJson(json.loads(str(entry["row_schema"])))
     return read_by_period(spark, f"{root}/versions/{entry['version']}", schema)
+
+
+LISTING, FINGERPRINT = "file string, bytes bigint", "file string, bytes bigint, lines bigint, digest string"
+
+
+def current_reason(spark: SparkSession, root: str, source: str, sample_share: float | None = None) -> str | None:
+    """Why the newest version cannot be used for the source files at `source`, or None when it can."""
+    entry = published_version(spark, root)
+    if entry is None or rebuild_reason(entry, sample_share, None, None):
+        return rebuild_reason(entry, sample_share, None, None)
+    listed = spark.createDataFrame([(f["file"], f["bytes"]) for f in entry["files"]], LISTING)
+    status = file_status(listed, stored_files(spark, f"{root}/versions/{entry['version']}"))
+    known = [(f["file"], f["bytes"], f["lines"], f["digest"]) for f in entry["source_files"]]
+    origin = file_status(spark.createDataFrame(known, FINGERPRINT), source_fingerprint(spark, source))
+    return rebuild_reason(entry, sample_share, status, origin)
+
+
+def load_unless_current(
+    spark: SparkSession,
+    source: str,
+    root: str,
+    catalogue: Catalogue = HOLDINGS_CATALOGUE,
+    months: Sequence[str] | None = None,
+    sample_share: float | None = None,
+) -> tuple[DataFrame, str | None]:
+    """The published rows of a raw source, loaded and published first if need be, and the reason for that."""
+    reason = current_reason(spark, root, source, sample_share)
+    if reason is not None:
+        fingerprints = [row.asDict() for row in source_fingerprint(spark, source).orderBy("file").collect()]
+        rows, facts = load_checked(spark, source, catalogue, months, sample_share)
+        expected = facts["source_rows"] if sample_share is None else None
+        publish(rows, root, ENTITY_COLUMN, "month", sample_share, expected, months, fingerprints)
+    return read_published(spark, root), reason

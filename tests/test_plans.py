@@ -14,7 +14,8 @@ def test_all_results_and_repeatable_csv(warehouse, tmp_path):
     results = analyse(warehouse)
     assert set(results) == {
         "event_summary", "penetration", "transitions", "ladder_funnel", "time_to_next", "cohort_retention",
-        "engagement", "value_proxy",
+        "engagement", "value_proxy", "events_by_product", "penetration_latest", "top_transitions", "ladder_proposal",
+        "adopter_share", "cohort_matrix", "value_by_dimension", "engagement_trend_ends",
     }
     for name in ("cohort_retention", "engagement"):
         texts = []
@@ -57,3 +58,42 @@ def test_bad_splits_stop_the_training(spark, bad):
     splits = Splits((bad[0], bad[1]), (bad[2], bad[3]), (23, 28))
     with pytest.raises(ValueError):
         train_and_evaluate(spark.range(1), tables.TARGET, splits, "x")
+
+
+def test_stored_layout_saves_shuffles(warehouse):
+    from panelmill.operators.events import flag_changes
+
+    def plan(df):
+        return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+    assert "Exchange" not in plan(flag_changes(warehouse.fact))
+    latest = warehouse.by_month.filter(F.col("month_index") == 16)
+    assert "PartitionFilters: [isnotnull(month_index" in plan(latest)
+    assert warehouse.changes.exceptAll(flag_changes(warehouse.fact)).isEmpty()
+
+
+def test_a_failed_rebuild_leaves_the_last_one(spark, warehouse, tmp_path):
+    from panelmill.plans.star_schema import build_warehouse, open_warehouse
+
+    raw = tables.raw_panel(spark, "/root/testdata/sf0.001")
+    path = str(tmp_path / "w")
+    build_warehouse(spark, raw, tables.EV_CATALOGUE, tables.RAW_FIRST_MONTH, path, buckets=4)
+    with pytest.raises(Exception):  # noqa: B017
+        build_warehouse(spark, raw.drop("renta"), tables.EV_CATALOGUE, tables.RAW_FIRST_MONTH, path, buckets=4)
+    again = open_warehouse(spark, tables.EV_CATALOGUE, tables.RAW_FIRST_MONTH, path)
+    assert again.fact.count() == raw.count() == again.by_month.count()
+
+
+def test_files_follow_counts_and_catalogue(warehouse, tmp_path):
+    results = analyse(warehouse)
+    for name in ("transitions", "penetration"):
+        write_csv(name, results[name], str(tmp_path), warehouse.catalogue)
+    lines = {
+        name: next((tmp_path / name).glob("part-*.csv")).read_text().splitlines() for name in ("transitions", "penetration")
+    }
+    at = lines["transitions"][0].split(",").index("transitions")
+    counts = [int(line.split(",")[at]) for line in lines["transitions"][1:]]
+    assert counts == sorted(counts, reverse=True)
+    at = lines["penetration"][0].split(",").index("product_code")
+    codes = [product.code for product in warehouse.catalogue.products]
+    assert [line.split(",")[at] for line in lines["penetration"][1 : len(codes) + 1]] == codes
