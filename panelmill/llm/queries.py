@@ -141,7 +141,7 @@ def grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = sharding.document_sizes(table(spark, sf_dir, "documents"))
     placed = sharding.shard_rows(
-        sizes, key="doc_id", group=["text_hash", "text_crc32", "size"], dimensions={"size": 16, "tokens": 1, "rows": 1}
+        sizes, key="doc_id", group=["text_hash", "text_crc32", "size"], dimensions={"size": 1024, "tokens": 1, "rows": 1}
     )
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

@@ -5,7 +5,7 @@ of a bounded number of documents. Within a slice they are placed largest first,
 capacity has the highest dot product with the item's size, all sizes taken as shares of the slice's totals. Slices
 are balanced one by one, so the whole is balanced as well, and no task or driver ever sees more than a slice.
 
-A group that would outgrow a slice is salted into parts; there are fewer such groups than slices.
+A group that is large for a slice is salted into parts, and the number of such groups is bounded by that of slices.
 """
 
 from __future__ import annotations
@@ -54,14 +54,17 @@ def shard_rows(
     rows, at = positional(stored(rows, "shard-rows"))
     key, group, sizes_of = at[key], [at[name] for name in group], [at[name] for name in dimensions]
     names = rows.columns
-    total = rows.count()
-    slices = max(1, -(-total // slice_rows))
-    limit = max(1, slice_rows // 4)
-    # fewer than 4 * slices groups can have more rows than a quarter of a slice
+    totals = rows.agg(F.count(F.lit(1)), *[F.sum(name) for name in sizes_of]).first()
+    slices = max(1, -(-totals[0] // slice_rows))
+    # A part of a group is at most a quarter of what a shard gets from a slice, in rows and in each dimension, so
+    # the number of larger groups is bounded by shards, slices and dimensions.
+    quarters = 4 * shards * slices
+    measures = {"_rows": F.count(F.lit(1))} | {f"_sum_{name}": F.sum(name) for name in sizes_of}
+    needed = F.greatest(*[F.ceil(F.col(name) * quarters / total) for name, total in zip(measures, totals) if total], F.lit(1), F.lit(1))
     parts = stored(
-        rows.groupBy(*group).count().where(F.col("count") > limit).select(
-            F.struct(*group).alias("_large"), F.ceil(F.col("count") / limit).alias("_parts")
-        ),
+        rows.groupBy(*group).agg(*[measure.alias(name) for name, measure in measures.items()])
+        .select(F.struct(*group).alias("_large"), F.least(needed, F.col("_rows")).alias("_parts"))
+        .where(F.col("_parts") > 1),
         "shard-large-groups",
     )
     side = F.broadcast(parts) if parts.count() <= BROADCAST_GROUPS else parts
@@ -75,9 +78,10 @@ def shard_rows(
         part = part.sort_values([*group, "_part", key], kind="stable", ignore_index=True)
         item = part.groupby([*group, "_part"], dropna=False, sort=False).ngroup().to_numpy()
         sizes = np.stack([np.bincount(item, weights=part[name].to_numpy(float)) for name in sizes_of], axis=1)
-        part["shard"] = place(sizes, shards, list(dimensions.values()))[item]
+        # ties go to the first shard, which is another one in each slice
+        part["shard"] = (place(sizes, shards, list(dimensions.values()))[item] + int(part["_slice"].iloc[0])) % shards
         part["_local"] = part.groupby("shard").cumcount().astype("int64")
-        return part[[*names, "_slice", "shard", "_local"]]
+        return part[[*names, "_slice", "shard", "_local"]].astype({"shard": "int32"})
 
     local = stored(
         dealt.groupBy("_slice").applyInPandas(placed, f"{kinds}, _slice int, shard int, _local long"), "shard-slices"

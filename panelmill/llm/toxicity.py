@@ -31,9 +31,9 @@ _PAIR, _SKIP, _STEM = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4
 
 @dataclass(frozen=True)
 class Settings:
-    alpha: float = 0.3
+    alpha: float = 0.6
     beta: float = 1.0
-    l1: float = 4.0
+    l1: float = 6.0
     l2: float = 0.1
     epochs: int = 3
 
