@@ -1,6 +1,7 @@
 """Exact top-k by inner product: a kNN join over Voronoi groups.
 
-Equal vectors are one candidate that carries its few smallest ids, equal queries are asked once. Candidates are
+Equal vectors are one candidate that carries its few smallest ids, equal queries are asked once. A query whose id
+has several vectors among the data is asked by itself and leaves its own rows out from the start. Candidates are
 grouped around data pivots, queries around query pivots. Summaries of the groups (radius, the distances closest to
 the pivot, the largest query norm) give for every query group a score that its k-th answer certainly reaches, and for
 every candidate the score it can reach at most; only candidates that may matter are replicated to a query group.
@@ -89,9 +90,13 @@ def _assigned(vectors: DataFrame, pivots: np.ndarray, part_rows: int, width: int
 
 
 def _needed(data: DataFrame, queries: DataFrame, pivots: np.ndarray, centres: np.ndarray, most: int) -> pd.DataFrame:
-    """For query group and data cell: the distance from the pivot from which on candidates may matter."""
+    """For query group and data cell: the distance from the pivot from which on candidates may matter.
+
+    Candidates that may be a query's own rows only (solo) are not counted on.
+    """
     nearest = Window.partitionBy("cell").orderBy("away", "vkey")
-    close = data.select("cell", "away", F.row_number().over(nearest).alias("n")).where(F.col("n") <= most).toPandas()
+    certain = data.where(~F.col("solo")).select("cell", "away", F.row_number().over(nearest).alias("n"))
+    close = certain.where(F.col("n") <= most).toPandas()
     radii = data.groupBy("cell").agg(F.max("away").alias("radius")).toPandas()
     reach = np.full(len(pivots), -1.0)
     reach[radii["cell"]] = radii["radius"]
@@ -110,20 +115,45 @@ def _needed(data: DataFrame, queries: DataFrame, pivots: np.ndarray, centres: np
     return pd.DataFrame(rows, columns=["q_cell", "cell", "least"])
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, repeats: bool = False) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows of `vectors` for each row of `queries` except the row
     with the query's own id; ties go to the smaller id, with fewer than k others all are returned.
 
     Both have vec_id and v (whole numbers; shorter vectors count as ending in zeros). Equal vectors and repeated rows
-    are candidates of their own, a repeated query id is one query. Empty tables give an empty result.
+    are candidates of their own. A repeated query id is one query: it asks with each of its distinct vectors, and its
+    answers are the k best of all pairs of vector and row. With `repeats` equal query rows make pairs of their own, as
+    in a join of the two tables. Empty tables give an empty result.
     """
     spark, most = vectors.sparkSession, k + 1
     keyed = vectors.select("vec_id", "v", F.md5(F.array_join("v", ",").cast("binary")).alias("vkey"))
+    asked = stored(
+        queries.select(F.col("vec_id").alias("query_id"), "v", F.md5(F.array_join("v", ",").cast("binary")).alias("vkey"))
+        .groupBy("query_id", "vkey").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("times")),
+        "knn-queries",
+    )
+    # query ids with several vectors: room for one vector of their own would not do
+    several = stored(
+        vectors.join(asked.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+        .groupBy(F.col("vec_id").alias("own")).agg(F.min(F.xxhash64("v")).alias("_low"), F.max(F.xxhash64("v")).alias("_high"))
+        .where(F.col("_low") != F.col("_high")).select("own"),
+        "knn-repeated-ids",
+    )
+    # of each id the k rows that matter; without those of any one id, k of 2 k rows are left
+    same = Window.partitionBy("vkey", "vec_id").orderBy("vec_id")
     smallest = Window.partitionBy("vkey").orderBy("vec_id")
-    kept = keyed.withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= most)
-    data = stored(kept.groupBy("vkey").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "knn-data")
-    asked = stored(queries.select(F.col("vec_id").alias("query_id"), "v", F.md5(F.array_join("v", ",").cast("binary")).alias("vkey")), "knn-queries")
-    distinct = stored(asked.groupBy("vkey").agg(F.first("v").alias("v")), "knn-query-vectors")
+    kept = keyed.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k)
+    kept = kept.withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= 2 * k)
+    listed = kept.groupBy("vkey").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    lone = F.when(F.col("ids")[0] == F.element_at("ids", -1), F.col("ids")[0])
+    data = stored(
+        listed.withColumn("_lone", lone).join(several.withColumnRenamed("own", "_own"), F.col("_lone") == F.col("_own"), "left")
+        .select("vkey", "v", "ids", F.col("_own").isNotNull().alias("solo")),
+        "knn-data",
+    )
+    asked = asked.join(several, F.col("query_id") == F.col("own"), "left").withColumn(
+        "vkey", F.when(F.col("own").isNull(), F.col("vkey")).otherwise(F.concat_ws(" ", "vkey", F.col("own").cast("string")))
+    )
+    distinct = stored(asked.groupBy("vkey").agg(F.first("v").alias("v"), F.first("own").alias("own")), "knn-query-vectors")
 
     facts = data.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     asked_facts = distinct.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
@@ -140,20 +170,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         q_parts = asking.select(F.col("cell").alias("q_cell"), F.col("part").alias("q_part")).distinct()
         pairs = sent.select("q_cell", "cell", "part").distinct().join(q_parts, "q_cell")
         data_side = sent.join(q_parts, "q_cell").select("q_cell", "q_part", "cell", "part", "v", "ids")
-        query_side = asking.select(F.col("cell").alias("q_cell"), F.col("part").alias("q_part"), F.col("vkey").alias("qkey"), F.col("v").alias("q")).join(
+        query_side = asking.select(F.col("cell").alias("q_cell"), F.col("part").alias("q_part"), F.col("vkey").alias("qkey"), F.col("v").alias("q"),
+            F.coalesce("own", F.lit(0)).alias("own"), F.col("own").isNotNull().alias("apart")).join(
             pairs, ["q_cell", "q_part"]
-        ).select(*[F.col(name).alias(f"_{name}") for name in keys], "qkey", "q")
+        ).select(*[F.col(name).alias(f"_{name}") for name in keys], "qkey", "q", "own", "apart")
 
         def solve(rows: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
             if rows.empty or questions.empty:
                 return pd.DataFrame({"qkey": [], "score": [], "ids": []})
             order = np.argsort([ids[0] for ids in rows["ids"]], kind="stable")
             ids, points = rows["ids"].to_numpy()[order], _matrix(rows["v"], width)[order]
+            # the two smallest different ids, or the only one twice
+            first = np.array([held[0] for held in ids])
+            second = np.array([next((one for one in held if one != held[0]), held[0]) for held in ids])
             out = []
             for start in range(0, len(questions), 256):
                 block = questions.iloc[start : start + 256]
                 scores = _scores(_matrix(block["q"], width), points)
-                for qkey, line in zip(block["qkey"], scores):
+                for qkey, own, apart, line in zip(block["qkey"], block["own"], block["apart"], scores):
+                    if apart:
+                        others = np.flatnonzero((first != own) | (second != own))
+                        if len(others):
+                            floor = np.partition(line[others], -most)[-most] if len(others) > most else line[others].min()
+                            close = others[line[others] >= floor]
+                            smallest_other = np.where(first[close] == own, second[close], first[close])
+                            best = close[np.lexsort((smallest_other, -line[close]))[:most]]
+                            out += [(qkey, int(line[at]), ids[at][ids[at] != own]) for at in best]
+                        continue
                     floor = np.partition(line, -most)[-most] if len(line) > most else line.min()
                     close = np.flatnonzero(line >= floor)
                     best = close[np.argsort(-line[close], kind="stable")[:most]]
@@ -170,9 +213,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     rows = rows.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= 2 * most).drop("n")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
-        asked.select("query_id", F.col("vkey").alias("qkey")).dropDuplicates(["query_id"])
+        asked.select("query_id", F.col("vkey").alias("qkey"), (F.least("times", F.lit(k)) if repeats else F.lit(1)).cast("int").alias("_times"))
         .join(rows, "qkey")
         .where(F.col("vec_id") != F.col("query_id"))
+        .withColumn("_time", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))
         .withColumn("rank", F.row_number().over(final))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
