@@ -5,7 +5,9 @@ of a bounded number of documents. Within a slice they are placed largest first,
 capacity has the highest dot product with the item's size, all sizes taken as shares of the slice's totals. Slices
 are balanced one by one, so the whole is balanced as well, and no task or driver ever sees more than a slice.
 
-A group that is large for a slice is salted into parts, and the number of such groups is bounded by that of slices.
+A group that is large for a slice is placed before the slices, as one item without its rows; such groups are dealt
+into slices of groups, and the slices of rows start from the capacity they leave. Only a group of more than a quarter
+of a shard of the whole corpus is salted into parts. Both kinds are bounded in number, by slices and by shards.
 """
 
 from __future__ import annotations
@@ -25,11 +27,12 @@ SLICE_ROWS = 8_000
 BROADCAST_GROUPS = 100_000
 
 
-def place(sizes: np.ndarray, shards: int, emphasis: Sequence[float]) -> np.ndarray:
-    """A shard for each row of `sizes` (items x dimensions); emphasis: how much each dimension counts in the product."""
+def place(sizes: np.ndarray, shards: int, emphasis: Sequence[float], capacity: np.ndarray | None = None) -> np.ndarray:
+    """A shard for each row of `sizes` (items x dimensions); emphasis: how much each dimension counts in the product;
+    capacity: the part of the items' totals that each shard is to get (shards x dimensions), equal parts by default."""
     totals = sizes.sum(axis=0)
     share = sizes / np.where(totals > 0, totals, 1)
-    residual = np.full((shards, sizes.shape[1]), 1.0 / shards)
+    residual = np.full((shards, sizes.shape[1]), 1.0 / shards) if capacity is None else capacity.copy()
     found = np.empty(len(sizes), dtype=np.int32)
     for item in np.lexsort((-share[:, 0], -share.max(axis=1))):
         best = found[item] = int((residual @ (share[item] * emphasis)).argmax())
@@ -37,6 +40,37 @@ def place(sizes: np.ndarray, shards: int, emphasis: Sequence[float]) -> np.ndarr
     return found
 
 
+def _capacity(totals: np.ndarray, load: np.ndarray) -> np.ndarray:
+    """What each shard is to get of the items still to place, as parts of their totals."""
+    left = totals - load.sum(axis=0)
+    return np.where(left > 0, (totals / len(load) - load) / np.where(left > 0, left, 1), 1.0 / len(load))
+
+
+def _turned(sizes: np.ndarray, shards: int, emphasis: Sequence[float], capacity: np.ndarray, turn: int) -> np.ndarray:
+    """As `place`, but ties go to another first shard for each `turn`."""
+    order = (np.arange(shards) + turn) % shards
+    return order[place(sizes, shards, emphasis, capacity[order])].astype(np.int32)
+
+
+def _place_groups(items: DataFrame, sizes_of: list[str], shards: int, emphasis: Sequence[float], capacity: np.ndarray, slices: int) -> DataFrame:
+    """_item and shard of rows with _item, _order (a hash) and sizes; each slice is placed by one task."""
+
+    def placed(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_order", *sizes_of], kind="stable", ignore_index=True)
+        shard = _turned(part[sizes_of].to_numpy(float), shards, emphasis, capacity, int(part["_order"].iloc[0]) % slices)
+        return pd.DataFrame({"_item": part["_item"], "shard": shard})
+
+    dealt = items.select("_item", "_order", *sizes_of, F.pmod("_order", F.lit(slices)).alias("_deal"))
+    return stored(dealt.groupBy("_deal").applyInPandas(placed, "_item long, shard int"), "shard-placed-groups")
+
+
+def _load(placed: DataFrame, items: DataFrame, sizes_of: list[str], shards: int) -> np.ndarray:
+    load = np.zeros((shards, len(sizes_of)))
+    for row in placed.join(items, "_item").groupBy("shard").agg(*[F.sum(name) for name in sizes_of]).collect():
+        load[row[0]] = row[1:]
+    return load
+
+
 def shard_rows(
     rows: DataFrame,
     key: str,
@@ -48,7 +82,8 @@ def shard_rows(
     """Add shard (0 to shards - 1) and slot (gapless from 0 within the shard) to `rows`.
 
     `dimensions` are non-negative numbers of each row with their emphasis, `group` names the columns that rows placed together share
-    (their nulls are equal). Repeated rows stay apart, null keys are allowed, an empty table gives an empty result.
+    (their nulls are equal); a group of more than a quarter of a shard, in rows or a dimension, is parted. Repeated rows
+    stay apart, null keys are allowed, an empty table gives an empty result.
     """
     columns = rows.columns
     rows, at = positional(stored(rows, "shard-rows"))
@@ -56,30 +91,68 @@ def shard_rows(
     names = rows.columns
     totals = rows.agg(F.count(F.lit(1)), *[F.sum(name) for name in sizes_of]).first()
     slices = max(1, -(-totals[0] // slice_rows))
-    # A part of a group is at most a quarter of what a shard gets from a slice, in rows and in each dimension, so
-    # the number of larger groups is bounded by shards, slices and dimensions.
-    quarters = 4 * shards * slices
+    emphasis = list(dimensions.values())
     measures = {"_rows": F.count(F.lit(1))} | {f"_sum_{name}": F.sum(name) for name in sizes_of}
-    needed = F.greatest(*[F.ceil(F.col(name) * quarters / total) for name, total in zip(measures, totals) if total], F.lit(1), F.lit(1))
-    parts = stored(
-        rows.groupBy(*group).agg(*[measure.alias(name) for name, measure in measures.items()])
-        .select(F.struct(*group).alias("_large"), F.least(needed, F.col("_rows")).alias("_parts"))
-        .where(F.col("_parts") > 1),
+
+    def quarters(of: int) -> Column:
+        """How many parts of at most a quarter of a shard of one of `of` slices a group takes, by its largest measure."""
+        shares = [F.ceil(F.col(name) * 4 * shards * of / total) for name, total in zip(measures, totals) if total]
+        return F.greatest(*shares, F.lit(1), F.lit(1))
+
+    # the number of groups beyond a quarter of what a shard gets from a slice is bounded by shards, slices and dimensions
+    large = stored(
+        rows.groupBy(*group).agg(*[measure.alias(name) for name, measure in measures.items()]).where(quarters(slices) > 1)
+        .select(F.struct(*group).alias("_large"), F.least(quarters(1), F.col("_rows")).alias("_parts")),
         "shard-large-groups",
     )
-    side = F.broadcast(parts) if parts.count() <= BROADCAST_GROUPS else parts
+    n_large = large.count()
+    side = F.broadcast(large) if n_large <= BROADCAST_GROUPS else large
     salted = rows.join(side, F.struct(*group).eqNullSafe(F.col("_large")), "left").select(
-        *names, F.coalesce(F.pmod(F.xxhash64(*names), F.col("_parts")), F.lit(0)).alias("_part")
+        *names, F.pmod(F.xxhash64(*names), F.col("_parts")).alias("_part")
+    )
+    load, whole = np.zeros((shards, len(sizes_of))), np.array([float(total or 0) for total in totals[1:]])
+    if n_large:
+        items = stored(
+            salted.where(F.col("_part").isNotNull()).groupBy(*group, "_part").agg(*[measure.alias(name) for name, measure in measures.items()])
+            .select(
+                F.monotonically_increasing_id().alias("_item"), F.xxhash64(*group, "_part").alias("_order"),
+                F.struct(*group, "_part").alias("_whole"), *[F.col(f"_sum_{name}").alias(name) for name in sizes_of],
+                quarters(max(1, -(-n_large // slice_rows))).alias("_quarters"),
+            ),
+            "shard-large-items",
+        )
+        # where the groups take several slices, those that are large for one of these go first, all in one slice
+        deals = max(1, -(-n_large // slice_rows))
+        first, later = items.where(F.col("_quarters") > 1), items.where(F.col("_quarters") <= 1)
+        if deals == 1:
+            first, later = items, None
+        found = _place_groups(first, sizes_of, shards, emphasis, _capacity(whole, load), 1)
+        load = load + _load(found, items, sizes_of, shards)
+        if later is not None:
+            rest = _place_groups(later, sizes_of, shards, emphasis, _capacity(whole, load), deals)
+            load, found = load + _load(rest, items, sizes_of, shards), found.unionByName(rest)
+        given = found.withColumnRenamed("shard", "_given").join(items.select("_item", "_whole"), "_item").select("_whole", "_given")
+        side = F.broadcast(given) if n_large <= BROADCAST_GROUPS else given
+        salted = salted.join(side, F.struct(*group, "_part").eqNullSafe(F.col("_whole")), "left").select(*names, "_given")
+    else:
+        salted = salted.select(*names, F.lit(None).cast("int").alias("_given"))
+    capacity = _capacity(whole, load)
+    # rows whose shard is given are dealt singly, only to be counted
+    dealt = salted.select(
+        *names, F.coalesce("_given", F.lit(-1)).alias("_given"),
+        F.pmod(F.when(F.col("_given").isNull(), F.xxhash64(*group)).otherwise(F.xxhash64(*names)), F.lit(slices)).cast("int").alias("_slice"),
     )
-    dealt = salted.withColumn("_slice", F.pmod(F.xxhash64(*group, "_part"), F.lit(slices)).cast("int"))
     kinds = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in rows.schema)
 
     def placed(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([*group, "_part", key], kind="stable", ignore_index=True)
-        item = part.groupby([*group, "_part"], dropna=False, sort=False).ngroup().to_numpy()
-        sizes = np.stack([np.bincount(item, weights=part[name].to_numpy(float)) for name in sizes_of], axis=1)
-        # ties go to the first shard, which is another one in each slice
-        part["shard"] = (place(sizes, shards, list(dimensions.values()))[item] + int(part["_slice"].iloc[0])) % shards
+        part = part.sort_values([*group, key], kind="stable", ignore_index=True)
+        shard, free = part["_given"].to_numpy(np.int32).copy(), part["_given"].to_numpy() < 0
+        if free.any():
+            open_rows = part[free]
+            item = open_rows.groupby(group, dropna=False, sort=False).ngroup().to_numpy()
+            sizes = np.stack([np.bincount(item, weights=open_rows[name].to_numpy(float)) for name in sizes_of], axis=1)
+            shard[free] = _turned(sizes, shards, emphasis, capacity, int(part["_slice"].iloc[0]))[item]
+        part["shard"] = shard
         part["_local"] = part.groupby("shard").cumcount().astype("int64")
         return part[[*names, "_slice", "shard", "_local"]].astype({"shard": "int32"})
 
