@@ -2,9 +2,9 @@
 
 One HyperLogLog sketch of sites per line is built before the shuffle and merged after it, so a line's rows never
 meet. Lines estimated at twice the threshold or more are boilerplate, below half of it they are not, and those in
-between get an exact distinct count. Boilerplate is removed from the texts, except from a text that would lose more
-than a given share of itself: such a text is a copy of another document rather than a carrier of boilerplate, and
-is left to the search for near duplicates.
+between get an exact distinct count. Texts with the same set of lines count as one text on one site, so that copies
+of a document do not turn its lines into boilerplate. Boilerplate is then removed from every text, except from one
+of which nothing would be left.
 
 Only DataFrame functions are used. Lines are compared by two independent 64-bit hashes.
 """
@@ -31,13 +31,34 @@ def _hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("_h1"), F.xxhash64(F.lit(1), line).alias("_h2")]
 
 
-def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source") -> DataFrame:
+def _one_site_for_copies(docs: DataFrame, text: str, site: str) -> DataFrame:
+    """_site and _text of every row, where rows with the same set of lines all have the smallest of their sites."""
+    lines = F.sort_array(F.array_distinct(F.filter(_lines(text), lambda line: line != "")))
+    rows = docs.select(F.col(site).cast("string").alias("_site"), F.col(text).alias("_text"), lines.alias("_set")).where(
+        F.col("_site").isNotNull()
+    ).select("_site", "_text", F.xxhash64("_set").alias("_s1"), F.xxhash64(F.lit(1), "_set").alias("_s2"))
+    several = stored(
+        rows.groupBy("_s1", "_s2").agg(F.min("_site").alias("_first"), F.max("_site").alias("_last"))
+        .where(F.col("_first") != F.col("_last")).drop("_last"),
+        "copied-texts",
+    )
+    side = F.broadcast(several) if several.count() <= BROADCAST_LINES else several
+    return rows.join(side, ["_s1", "_s2"], "left").select(F.coalesce("_first", "_site").alias("_site"), "_text")
+
+
+def boilerplate_lines(
+    docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", count_copies: bool = False
+) -> DataFrame:
     """The two hashes of each line that occurs on at least `min_sites` distinct sites.
 
-    Empty lines are no lines; a null site is no site; null texts have no lines.
+    Texts with the same set of lines count on one site only, unless `count_copies`. Empty lines are no lines; a null
+    site is no site; null texts have no lines.
     """
+    sites = docs.select(F.col(site).cast("string").alias("_site"), F.col(text).alias("_text"))
+    if not count_copies:
+        sites = _one_site_for_copies(docs, text, site)
     lines = (
-        docs.select(F.col(site).cast("string").alias("_site"), F.explode(_lines(text)).alias("_line"))
+        sites.select("_site", F.explode(_lines("_text")).alias("_line"))
         .where((F.col("_line") != "") & F.col("_site").isNotNull())
         .select("_site", *_hashes(F.col("_line")))
     )
@@ -63,7 +84,7 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "
 def remove_boilerplate(
     docs: DataFrame,
     min_sites: int = MIN_SITES,
-    most_removed: float = MOST_REMOVED,
+    most_removed: float | None = None,
     key: str = "doc_id",
     text: str = "text",
     site: str = "source",
@@ -71,7 +92,9 @@ def remove_boilerplate(
 ) -> DataFrame:
     """`docs` with boilerplate lines cut from `text`; with `report` also n_lines (not empty) and n_removed.
 
-    A text of which more than `most_removed` (in characters of its lines) would go keeps all of it. Null texts stay
+    Copies count once (see `boilerplate_lines`), and only a text of which nothing would be left keeps all of it. With
+    `most_removed` copies count on all their sites instead, and a text of which more than that share (in characters of
+    its lines) would go keeps all of it, boilerplate included; the answer of op4 is defined so. Null texts stay
     null with 0 lines, texts without boilerplate stay as they are, repeated rows are treated alike, null keys are
     allowed, an empty table gives an empty result. Every other column passes through, but for
     two that are named as the counts if these are asked for.
@@ -79,7 +102,7 @@ def remove_boilerplate(
     columns = docs.columns
     docs, at = positional(docs)
     key, text, site = at[key], at[text], at[site]
-    marked = stored(boilerplate_lines(docs, min_sites, text, site), "boilerplate-lines")
+    marked = stored(boilerplate_lines(docs, min_sites, text, site, most_removed is not None), "boilerplate-lines")
     marked_side = F.broadcast(marked) if marked.count() <= BROADCAST_LINES else marked
     row_hash = F.xxhash64(F.col(key), F.col(text))
     hits = (
@@ -97,7 +120,7 @@ def remove_boilerplate(
     kept = F.filter(lines, lambda line, place: ~F.array_contains(cut, place))
     size = F.length(F.array_join(lines, ""))
     lost = size - F.length(F.array_join(kept, ""))
-    applies = (F.size(cut) > 0) & (lost <= size * most_removed)
+    applies = (F.size(cut) > 0) & (lost < size if most_removed is None else lost <= size * most_removed)
     counts = {
         "n_lines": F.coalesce(F.size(F.filter(lines, lambda line: line != "")), F.lit(0)).cast("long"),
         "n_removed": F.when(applies, F.size(cut)).otherwise(0).cast("long"),
