@@ -154,9 +154,18 @@ class WordEndIds:
         self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, number in vocabulary.items():
             self._ends[number] = token.endswith("</w>")
+        # these are looked for in the raw text, so lower case must not bring one about
+        self._special = [token.content for token in self._tokenizer.get_added_tokens_decoder().values()]
         self._units: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
 
+    def _folded(self, core: str) -> str:
+        """The core in lower case, if it has the same ids then."""
+        if not core.isascii():
+            return core
+        low = core.lower()
+        return core if any(one in low for one in self._special) else low
+
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for batch in _by_bytes(texts):
             for encoding in self._tokenizer.encode_batch(batch, add_special_tokens=False):
@@ -172,7 +181,7 @@ class WordEndIds:
         split = []
         for unit in units.difference(known):
             core, tail = _core_and_tail(unit)
-            split.append((unit, core.lower() if core.isascii() else core, tail))
+            split.append((unit, self._folded(core), tail))
         parts = {core for _, core, _ in split}.union(tail for _, _, tail in split).difference(of_part)
         groups = list(_joined(part for part in parts if _WORD(part)))
         for group, ids in zip(groups, self._encode([" ".join(group) for group in groups])):
