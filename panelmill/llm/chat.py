@@ -5,9 +5,10 @@ consecutive outputs compared: what the new output adds is the new turn's span. T
 is one of two marker characters, show where in the span the text itself lies. An output that does not begin with
 the one before is a template that rewrites history, and the turn says so.
 
-A conversation streams through one task in order and only its last turns are held, so its length does not matter.
-Dropping older turns is checked when it happens: if a shorter context renders the turn differently, the template
-looks far back, and the whole context is kept from there on.
+A conversation streams through one task in order. A template that declares itself `append_only` renders every turn
+by itself, so only the last turns are held and a conversation's length does not matter; whether dropping older turns
+changes the turn is still checked when it happens. Any other template gets the true whole prefix for every turn, at
+a cost that grows with the square of the conversation: whether it looks back or rewrites history can only be seen so.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ class InstructionTemplate:
     reading back removes again.
     """
 
+    #: a list's output is that of its turns, each alone, joined
+    append_only = True
     _ESCAPE = re.compile(r"[<\[]")
     _UNESCAPE = re.compile(r"([<\[])\\")
 
@@ -94,7 +97,7 @@ class Renderer:
         self._turns: list[Turn] = []
         self._before = template([])
         self._started = False
-        self._looks_back = False
+        self._looks_back = not getattr(template, "append_only", False)
 
     def add(self, role: str, text: str) -> tuple[str, int, int, bool]:
         """(span, where the text begins in it, where it ends, whether earlier output changed)."""
