@@ -8,7 +8,18 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import chat, decontamination, jaccard, line_spread, packing, sharding, substrings, toxicity, voronoi
+from panelmill.llm import (
+    chat,
+    decontamination,
+    jaccard,
+    line_spread,
+    packing,
+    periodic,
+    sharding,
+    substrings,
+    toxicity,
+    voronoi,
+)
 from panelmill.llm.shipping import ship_package
 from panelmill.llm.token_counts import count_tokens
 
@@ -162,3 +173,37 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return packing.pack(packing.tokenised_pieces(documents, tokenizer_file("word_bpe_49k.json")))
+
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+@query("op12_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text in ten is made periodic from some word on, as the query asks; a null doc_id leaves its text alone."""
+    words = F.coalesce(F.regexp_extract_all(F.col("text"), F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("original"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    g, n = F.floor(F.col("h") / 10), F.size("original")
+    start = (g % n).cast("int")
+    period = (1 + F.floor((n - start) / (3 + g % 8))).cast("int")
+    repeated = F.transform(
+        F.sequence(F.lit(0), n - 1), lambda i: F.get("original", F.when(i < start, i).otherwise(start + (i - start) % period))
+    )
+    folded = F.when((F.col("h") % 10 == 0) & (n > 0), repeated).otherwise(F.col("original"))
+    found = periodic.periodic_runs(rows.select("doc_id", folded.alias("words")))
+    best = F.aggregate(
+        F.col("runs"),
+        F.lit(None).cast(periodic.RUN_TYPE.elementType),
+        lambda held, run: F.when(held.isNull() | (run["length"] * held["period"] > held["length"] * run["period"]), run).otherwise(held),
+    )
+    listed = F.transform("runs", lambda run: F.concat(F.concat_ws(",", run["start"], run["length"], run["period"]), F.lit("\n")))
+    return found.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
