@@ -18,6 +18,7 @@ from panelmill.llm import (
     sharding,
     substrings,
     toxicity,
+    tree_bpe,
     voronoi,
 )
 from panelmill.llm.shipping import ship_package
@@ -175,6 +176,21 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenised_pieces(documents, tokenizer_file("word_bpe_49k.json")))
 
 
+@query("op11_tree_bpe")
+def tree_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = (tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = tree_bpe.encode_texts(table(spark, sf_dir, "documents"), *vocabulary)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return tree_bpe.decode_ids(encoded, *vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
