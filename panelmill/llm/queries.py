@@ -12,6 +12,7 @@ from panelmill.llm import (
     chat,
     decontamination,
     jaccard,
+    lexical,
     line_spread,
     packing,
     periodic,
@@ -223,3 +224,36 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+SQL_TERM = r"[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+"
+SQL_TERMS = (
+    f"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SQL_TERM}')"
+)
+
+
+@query(
+    "op13_ball_tree_search",
+    f"""
+    WITH terms AS (SELECT row_number() OVER () AS r, doc_id, {SQL_TERMS} AS words FROM documents WHERE text IS NOT NULL),
+    held AS (SELECT r, doc_id, words, len(words) AS n FROM terms WHERE len(words) > 0),
+    corpus AS (SELECT count(*) AS rows, CAST(sum(n) AS BIGINT) AS total FROM held),
+    asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({SQL_TERMS}) AS term FROM benchmark WHERE text IS NOT NULL)),
+    counted AS (
+        SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(words) AS term FROM held)
+        WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+    ), weighed AS (
+        SELECT term, CAST(floor(1000 * ln(CAST(2 * rows + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+        FROM counted, corpus GROUP BY term, rows
+    ), scored AS (
+        SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * rows) // total)))) AS BIGINT) AS score
+        FROM asked JOIN counted USING (term) JOIN weighed USING (term), corpus GROUP BY item_id, r, doc_id
+    )
+    SELECT item_id, rank, doc_id, score FROM (
+        SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+        FROM scored WHERE score > 0
+    ) WHERE rank <= 10
+    """,
+)
+def ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
