@@ -84,10 +84,11 @@ def test_changes_against_brute_force(spark):
 
 
 def test_one_exchange_per_entity(warehouse):
-    """Changes, kinds and the earliest drop share one shuffle by entity."""
-    plan = events.product_events(events.flag_changes(warehouse.fact))
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+    """Changes, kinds and the earliest drop share one shuffle by entity, and need none where the fact is bucketed by it."""
+    for fact, exchanges in ((warehouse.fact, 0), (warehouse.fact.repartition(4), 1)):
+        plan = events.product_events(events.flag_changes(fact))
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == exchanges and "Join" not in text
 
 
 def test_pairs_agree_on_the_planted_file(warehouse):
