@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from checks.registry import query, rounded
-from checks.tables import score_table
+from checks.tables import score_table, table
 from panelmill.operators import evaluation
 
 SC = """sc AS (
@@ -184,3 +186,33 @@ FROM pnt p JOIN val d USING (metric) GROUP BY 1"""
 def cluster_bootstrap(spark, sf):
     return rounded(evaluation.cluster_bootstrap(score_table(spark, sf), "customer_id", RESAMPLES, SEED))
 
+
+#: the same rows with a score of their own for each
+CONTINUOUS = SC.replace("floor(value / 50) / 10 AS score", "(value + event_id::DOUBLE / 4194304) / 1000 AS score")
+
+
+@query("cluster_bootstrap_continuous", bootstrap_sql().replace(SC, CONTINUOUS))
+def cluster_bootstrap_continuous(spark, sf):
+    """As many scores as rows."""
+    value = table(spark, sf, "events").select(F.col("event_id").alias("tie"), "value")
+    score = (F.col("value") + F.col("tie").cast("double") / 4194304) / 1000
+    rows = score_table(spark, sf).drop("score").join(value, "tie").withColumn("score", score)
+    return rounded(evaluation.cluster_bootstrap(rows, "customer_id", RESAMPLES, SEED))
+
+
+@query(
+    "one_order_for_all",
+    f"""WITH {SC}, rnk AS (SELECT label, score, row_number() OVER (ORDER BY score DESC, tie) AS r, count(*) OVER () AS n FROM sc)
+    SELECT (SELECT max(score) FROM rnk WHERE r = ceil(0.1::DOUBLE * n)) AS threshold,
+      (SELECT sum(label)::BIGINT FROM rnk WHERE r <= ceil(round(0.2::DOUBLE * n, 9))) AS adopters_in_best_fifth,
+      (SELECT sum(label)::BIGINT FROM (SELECT label, ntile(10) OVER (ORDER BY r) AS b FROM rnk) WHERE b = 1) AS adopters_in_best_decile,
+      (SELECT round(avg(score), 6) FROM (SELECT score, row_number() OVER (ORDER BY score, tie) AS u, n FROM rnk JOIN (SELECT score AS score2, tie, row_number() OVER (ORDER BY score DESC, tie) AS r FROM sc) USING (r))
+        WHERE u = 1 OR ceil(((u - 1) * 10)::DOUBLE / (n - 1)) = 1) AS lowest_bin_score""",
+)
+def one_order_for_all(spark, sf):
+    """Threshold, capacity, lift and calibration of one stored order."""
+    order = evaluation.index_scores(score_table(spark, sf))
+    capacity = evaluation.capacity_table(order, (0.2,), 100.0, 1.0).select(F.col("observed_adopters").alias("adopters_in_best_fifth"))
+    lift = evaluation.lift_table(order).filter("decile = 1").select(F.col("adopters").alias("adopters_in_best_decile"))
+    bins = evaluation.calibration_table(order).filter("bin = 1").select(F.col("mean_predicted").alias("lowest_bin_score"))
+    return rounded(evaluation.operating_threshold(order, 0.1).join(capacity).join(lift).join(bins))

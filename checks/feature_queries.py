@@ -181,6 +181,15 @@ def split_summary(spark, sf):
     return features.require_splits(features.split_summary(dataset(spark, sf)))
 
 
+@query(
+    "split_base_rates",
+    f"""{DATASET} SELECT split, count(*) AS rows, count(DISTINCT customer_id) AS customers, sum(adopts_target)::BIGINT AS positives,
+      round(avg(adopts_target), 6) AS base_rate FROM dat WHERE holds_target_at_t = 0 GROUP BY 1""",
+)
+def split_base_rates(spark, sf):
+    return rounded(features.population_summary(features.model_rows(dataset(spark, sf), "product")))
+
+
 @query(
     "target_choice",
     f"""{DATASET}, r AS (SELECT avg(adopts_target) AS train_rate FROM dat WHERE split = 'train' AND holds_target_at_t <> 1)

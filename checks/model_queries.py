@@ -10,7 +10,7 @@ from checks.evaluation_queries import level_sql, shown
 from checks.feature_queries import DATASET, dataset
 from checks.registry import query, rounded
 from checks.tables import EV_FLAG_FEATURES
-from panelmill.operators import evaluation, features, model
+from panelmill.operators import evaluation, features, model, shuffling
 from panelmill.session import cut_lineage, scratch_path
 
 COLUMNS = model.FeatureColumns(flags=EV_FLAG_FEATURES)
@@ -177,6 +177,29 @@ def select_model(spark, sf):
     return rounded(model.select_model(model.candidate_metrics(_candidates(spark, sf))))
 
 
+@query(
+    "baseline_metrics",
+    f"""{CANDIDATES} SELECT g AS candidate, rows, positives, {shown('base_rate', 'roc_auc', 'pr_auc')},
+      CASE WHEN g = 'base_rate' THEN round(brier, 6) END AS brier,
+      CASE WHEN g = 'rule' THEN round((SELECT avg({RULE}) FROM vld), 6) END AS share_selected FROM met WHERE g IN ('base_rate', 'rule')""",
+)
+def baseline_metrics(spark, sf):
+    return rounded(model.baseline_metrics(rows_of(spark, sf, "validation"), PAYROLL))
+
+
+@query(
+    "against_baselines",
+    f"""{CANDIDATES}, own AS (SELECT * FROM met WHERE g IN ('breadth', 'recent') ORDER BY pr_auc DESC, g DESC LIMIT 1),
+      bas AS (SELECT * FROM met WHERE g IN ('base_rate', 'rule') ORDER BY pr_auc DESC, g DESC LIMIT 1)
+      SELECT own.g AS selected, round(own.pr_auc, 6) AS selected_pr_auc, bas.g AS best_baseline, round(bas.pr_auc, 6) AS baseline_pr_auc,
+        own.pr_auc > bas.pr_auc AS beats_baselines FROM own, bas""",
+)
+def against_baselines(spark, sf):
+    found = _candidates(spark, sf)
+    own = model.candidate_metrics({name: found[name] for name in ("breadth", "recent")})
+    return rounded(model.against_baselines(own, model.baseline_metrics(rows_of(spark, sf, "validation"), PAYROLL)))
+
+
 def _scores(rows):
     return rows.select("customer_id", "feature_month", "label", "score")
 
@@ -261,30 +284,49 @@ def odds_ratios(spark, sf):
     return rounded(model.odds_ratios(model.fit_logistic(train, FEW)), 3)
 
 
-class _Linear:
-    """A fixed score of two columns."""
-
-    def raw_scores(self, rows):
-        return rows.withColumn("score", (F.col("n_products") * 2 + F.col("adoptions_last_3m")) / 40)
+#: A fixed score of every model column, in whole numbers, so that only the shuffling and the metrics are checked.
+SHUFFLED = COLUMNS.all
 
 
-SHUFFLED = ("n_products", "adoptions_last_3m")
+def _fixed_score(column: str) -> str:
+    terms = []
+    for at, name in enumerate(SHUFFLED):
+        shown_name = column.format(name)
+        value = f"length({shown_name})" if name in COLUMNS.categorical else f"floor({shown_name})"
+        terms.append(f"coalesce(CAST({value} AS BIGINT), 3) * {(at * 7) % 11 - 3}")
+    return f"CAST({' + '.join(terms)} AS DOUBLE)"
 
 
-def _permutation_answer(repeats: int = 2, seed: int = 42) -> str:
-    tie = "customer_id * 100 + feature_month AS tie"
-    parts = [f"SELECT 'whole' AS v, label, (n_products * 2 + adoptions_last_3m) / 40 AS score, {tie} FROM num"]
+class _Fixed:
+    def raw_scores(self, rows):
+        return rows.withColumn("score", F.expr(_fixed_score("{}")))
+
+
+def _permutation_answer(repeats: int = 5, seed: int = 42) -> str:
+    """The keyed shuffle round by round; its keys come from the same digests."""
+    parts, tie = [], "o.customer_id * 100 + o.feature_month AS tie"
+    steps, kept = ["plc AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY customer_id, feature_month) - 1 AS place, count(*) OVER () AS n FROM mrw WHERE split = 'validation')"], "place, n"
+    for repeat in range(repeats):
+        steps.append(f"s{repeat}_0 AS (SELECT {kept}, place AS x FROM plc)")
+        for at in range(shuffling.ROUNDS):
+            key = f"md5('{seed}|{repeat}|{at}')"
+            a, b = f"('0x' || substr({key}, 1, 8))::BIGINT", f"('0x' || substr({key}, 9, 8))::BIGINT"
+            low = "4294967295"
+            steps.append(
+                f"""s{repeat}_{at + 1} AS {'MATERIALIZED ' if at == shuffling.ROUNDS - 1 else ''}(SELECT {kept}, CASE WHEN (t >> 16) & 1 = 1 THEN y ELSE x END AS x FROM (
+                SELECT *, (xor(u, u >> 15) * 1540483477) & {low} AS t FROM (SELECT *, ((xor(xor(z, z >> 32), {b}) & {low}) * 1540483477) & {low} AS u
+                FROM (SELECT *, greatest(x, y) AS z FROM (SELECT *, ({a} % n + n - x) % n AS y FROM s{repeat}_{at})))))"""
+            )
+    parts.append(f"SELECT 'whole' AS v, o.label, {_fixed_score('o.{}')} AS score, {tie} FROM plc o")
     for name in SHUFFLED:
         for repeat in range(repeats):
-            value = {one: f"d.{one}" if one == name else f"o.{one}" for one in SHUFFLED}
+            mixed = _fixed_score("o.{}").replace(f"o.{name})", f"d.{name})")
             parts.append(
-                f"""SELECT '{name}|{repeat}', o.label, ({value['n_products']} * 2 + {value['adoptions_last_3m']}) / 40,
-                o.customer_id * 100 + o.feature_month FROM num o JOIN (SELECT *, row_number() OVER (ORDER BY
-                md5(customer_id || '|' || feature_month || '|{name}|{repeat}|{seed}'), place) AS k FROM num) d ON d.k = o.place"""
+                f"""SELECT '{name}|{repeat}', o.label, {mixed}, {tie} FROM s{repeat}_{shuffling.ROUNDS} m
+                JOIN plc o ON o.place = m.x JOIN plc d ON d.place = m.place"""
             )
     return (
-        f"""{ROWS}, num AS (SELECT *, row_number() OVER (ORDER BY customer_id, feature_month) AS place FROM mrw WHERE split = 'validation'),
-        sc AS ({' UNION ALL '.join(parts)}), {level_sql('v', '1')}
+        f"""{ROWS}, {', '.join(steps)}, sc AS ({' UNION ALL '.join(parts)}), {level_sql('v', '1')}
         SELECT split_part(g, '|', 1) AS feature, round(avg(whole - pr_auc), 6) AS pr_auc_drop_mean,
           round(stddev_pop(whole - pr_auc), 6) AS pr_auc_drop_std
         FROM met, (SELECT pr_auc AS whole FROM met WHERE g = 'whole') WHERE g <> 'whole' GROUP BY 1"""
@@ -293,10 +335,9 @@ def _permutation_answer(repeats: int = 2, seed: int = 42) -> str:
 
 @query("permutation_importance", _permutation_answer())
 def permutation_importance(spark, sf):
-    """A fixed score, so that only the shuffling and the metrics are checked."""
+    """Every model column, five repeats, every validation row."""
     rows = rows_of(spark, sf, "validation")
-    keys = ["customer_id", "feature_month"]
-    return rounded(model.permutation_importance(_Linear(), rows, SHUFFLED, keys, repeats=2))
+    return rounded(model.permutation_importance(_Fixed(), rows, SHUFFLED, ["customer_id", "feature_month"]))
 
 
 @query(

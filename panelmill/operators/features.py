@@ -206,6 +206,16 @@ def model_rows(dataset: DataFrame, mode: str) -> DataFrame:
     raise ValueError(f"target mode must be product or any, got {mode!r}")
 
 
+def population_summary(rows: DataFrame) -> DataFrame:
+    """Rows, entities, positives and base rate of each split in the population of the chosen target (`model_rows`)."""
+    return rows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("customer_id").alias("customers"),
+        F.sum(F.col("label").cast("bigint")).alias("positives"),
+        F.avg(F.col("label").cast("double")).alias("base_rate"),
+    )
+
+
 def leakage_difference(
     panel: DataFrame, scrambled: DataFrame, target: str, splits: Splits, cutoff: int, pattern: str = FLAG_PATTERN
 ) -> DataFrame:

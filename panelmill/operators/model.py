@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelmill.functions.columns import ratio
-from panelmill.functions.hashing import text_digest
 from panelmill.operators.evaluation import score_metrics
 from panelmill.operators.features import BINARY_FEATURES, CATEGORICAL_FEATURES, NUMERIC_FEATURES
-from panelmill.operators.ranking import running_totals, with_rank
+from panelmill.operators.order_index import order_index
+from panelmill.operators.ranking import running_totals
+from panelmill.operators.shuffling import shuffled_place
 
 OTHER = "other"
 
@@ -284,6 +285,33 @@ def candidate_metrics(scored: Mapping[str, DataFrame]) -> DataFrame:
     return score_metrics(together, ["candidate"])
 
 
+def baseline_metrics(rows: DataFrame, payroll_flag: str | None, min_products: int = 3) -> DataFrame:
+    """The metrics of the base rate and, with a payroll flag, of the rule, and the share of rows that the rule selects.
+
+    The rule says yes or no, which is no probability, so it has no Brier score."""
+    found = {"base_rate": constant_baseline(rows)}
+    if payroll_flag is not None:
+        found["rule"] = rule_baseline(rows, payroll_flag, min_products)
+    metrics = candidate_metrics(found)
+    is_rule = F.col("candidate") == "rule"
+    score = rule_score(payroll_flag, min_products) if payroll_flag is not None else F.lit(None).cast("double")
+    selected = rows.agg(F.avg(score).alias("_share"))
+    return metrics.join(F.broadcast(selected)).select(
+        *[name for name in metrics.columns if name != "brier"],
+        F.when(~is_rule, F.col("brier")).alias("brier"),
+        F.when(is_rule, F.col("_share")).alias("share_selected"),
+    )
+
+
+def against_baselines(metrics: DataFrame, baselines: DataFrame) -> DataFrame:
+    """One row: the selected candidate, the best baseline, and whether the candidate's average precision is above it."""
+    chosen = select_model(metrics).select(F.col("candidate").alias("selected"), F.col("pr_auc").alias("selected_pr_auc"))
+    best = baselines.agg(
+        F.max_by("candidate", F.struct("pr_auc", "candidate")).alias("best_baseline"), F.max("pr_auc").alias("baseline_pr_auc")
+    )
+    return chosen.join(F.broadcast(best)).withColumn("beats_baselines", F.col("selected_pr_auc") > F.col("baseline_pr_auc"))
+
+
 def select_model(metrics: DataFrame) -> DataFrame:
     """Highest average precision, of equal ones the later name."""
     return metrics.orderBy(F.desc("pr_auc"), F.desc("candidate")).limit(1)
@@ -355,6 +383,31 @@ def odds_ratios(model: FittedModel, top: int = 15) -> DataFrame:
     )
 
 
+def _with_donors(placed: DataFrame, columns: Sequence[str], repeats: int, seed: int) -> DataFrame:
+    """Each row with the values it gets in every repeat, as `_own` and `_given` (an array over the repeats).
+
+    A row sends its values to the place that a keyed shuffle names, so one exchange by place brings all of a row's
+    donors together: 1 + repeats rows a place.
+    """
+    values = F.struct(*columns)
+    place, count = F.col("position") - 1, F.col("position_count")
+    targets = F.array(
+        F.struct(F.lit(-1).alias("to"), place.alias("at")),
+        *[
+            F.struct(F.lit(repeat).alias("to"), shuffled_place(place, count, seed, repeat).alias("at"))
+            for repeat in range(repeats)
+        ],
+    )
+    sent = placed.select("label", values.alias("_values"), F.explode(targets).alias("_target"))
+
+    def of(repeat: int, value: str) -> Column:
+        return F.max(F.when(F.col("_target.to") == repeat, F.col(value)))
+
+    return sent.groupBy(F.col("_target.at").alias("_place")).agg(
+        of(-1, "label").alias("label"), of(-1, "_values").alias("_own"), F.array(*[of(r, "_values") for r in range(repeats)]).alias("_given")
+    )
+
+
 def permutation_importance(
     model: Scorer,
     rows: DataFrame,
@@ -365,52 +418,25 @@ def permutation_importance(
 ) -> DataFrame:
     """Drop in average precision when one input column is shuffled, mean and deviation over the repeats.
 
-    Uses every row. `tie` identifies a row. Rows are numbered once by it, and once for each column and repeat by a
-    digest of tie, column, repeat and seed; the row with number k gets the value of the k-th row in digest order.
-    Both numberings run over slices, so neither the rows nor a column's copies meet in one task. Stores the rows
-    and the numberings when called.
+    Uses every row. `tie` identifies a row and orders the rows once; a repeat is one keyed shuffle of the places, the
+    same for each column, which every row computes by itself. The variants of a row (one for each column and repeat)
+    are scored where the row is and leave nothing but score and label. Stores the numbered rows when called.
     """
-    kinds = dict(rows.select(*columns).dtypes)
-    placed = with_rank(rows.select("label", *tie, *columns), [F.col(name) for name in tie]).drop("position_count")
-    variants = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(name).alias("column_name"), F.lit(repeat).alias("repeat"))
-                for name in columns
-                for repeat in range(repeats)
-            ]
-        )
-    )
-    of_column = F.coalesce(
-        *[F.when(F.col("column_name") == name, F.struct(F.col(name).cast("string").alias("v"))) for name in columns]
-    )
-    keyed = placed.withColumn("_v", variants).select(
-        F.col("_v.column_name").alias("column_name"),
-        F.col("_v.repeat").alias("repeat"),
-        "position",
-        *tie,
-        *columns,
-    ).select(
-        "column_name",
-        "repeat",
-        F.col("position").alias("_own"),
-        of_column.alias("_given"),
-        text_digest(*[F.col(name) for name in tie], F.col("column_name"), F.col("repeat"), F.lit(seed)).alias("_digest"),
-    )
-    given = with_rank(keyed, [F.col("_digest"), F.col("_own")], ["column_name", "repeat"]).select(
-        "column_name", "repeat", "position", "_given"
-    )
-    shuffled = placed.join(given, "position").select(
+    index = order_index(rows.select("label", *tie, *[name for name in columns if name not in tie]), [F.col(name) for name in tie])
+    donors = _with_donors(index.ranked(), columns, repeats, seed)
+    # variant -1 is the row as it is, variant v the column v div repeats in the repeat v mod repeats
+    variant = F.explode(F.sequence(F.lit(-1), F.lit(len(columns) * repeats - 1))).alias("_variant")
+    column, repeat = F.floor(F.col("_variant") / repeats), F.pmod("_variant", F.lit(repeats))
+    disturbed = donors.select("label", "_own", "_given", variant).select(
         "label",
-        "column_name",
-        "repeat",
+        F.coalesce(F.get(F.array(*[F.lit(name) for name in columns]), column.cast("int")), F.lit("")).alias("column_name"),
+        repeat.alias("repeat"),
         *[
-            F.when(F.col("column_name") == name, F.col("_given.v").cast(kinds[name])).otherwise(F.col(name)).alias(name)
-            for name in columns
+            F.when(column == at, F.get("_given", repeat)[name]).otherwise(F.col("_own")[name]).alias(name)
+            for at, name in enumerate(columns)
         ],
     )
-    whole = placed.select("label", F.lit("").alias("column_name"), F.lit(0).alias("repeat"), *columns)
-    scored = model.raw_scores(whole.unionByName(shuffled)).select("column_name", "repeat", "label", "score")
+    scored = model.raw_scores(disturbed).select("column_name", "repeat", "label", "score")
     quality = score_metrics(scored, ["column_name", "repeat"]).select("column_name", "repeat", "pr_auc")
     undisturbed = quality.filter("column_name = ''").select(F.col("pr_auc")).scalar()
     return (

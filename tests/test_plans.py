@@ -36,7 +36,12 @@ def test_no_funnel_without_a_ladder(warehouse):
     assert "ladder_funnel" not in analyse(bare)
 
 
-def test_training_flow(spark):
+def test_training_flow(spark, monkeypatch):
+    from panelmill.operators import order_index
+
+    built = []
+    make = order_index.order_index
+    monkeypatch.setattr("panelmill.operators.evaluation.order_index", lambda *a, **b: built.append(1) or make(*a, **b))
     panel = tables.stg_panel(spark, "/root/testdata/sf0.01")
     report, fitted = train_and_evaluate(
         panel, tables.TARGET, tables.EV_SPLITS, "ind_signup_ult1", trees=3, resamples=20
@@ -49,6 +54,15 @@ def test_training_flow(spark):
     assert gain["after"] <= gain["before"] + 1e-9
     assert report["capacity"].count() == 5 and report["permutation_importance"].count() == 15
     assert fitted.name.endswith("_calibrated")
+    assert len(built) == 1  # one order for threshold, lift, calibration, capacity and bootstrap
+    beaten = report["against_baselines"].first()
+    best = report["baselines_validation"].agg(F.max("pr_auc")).first()[0]
+    assert beaten["baseline_pr_auc"] == best and beaten["beats_baselines"] == (beaten["selected_pr_auc"] > best)
+    rule = report["baselines_test"].filter("candidate = 'rule'").first()
+    assert rule["brier"] is None and 0 <= rule["share_selected"] <= 1
+    rates = {row["split"]: row for row in report["population"].collect()}
+    assert set(rates) == {"train", "validation", "test"}
+    assert rates["test"]["rows"] == report["per_month"].agg(F.sum("rows")).first()[0]
 
 
 @pytest.mark.parametrize("bad", [(3, 18, 18, 22), (2, 18, 19, 22)])
