@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from checks.oracle_base import EV
 from checks.registry import query
-from checks.tables import EV_CATALOGUE, raw_panel
+from checks.tables import EV_CATALOGUE, raw_panel, table
 from panelmill.session import scratch_path
 from panelmill.sources import holdings_file as files
-from panelmill.sources import publishing
+from panelmill.sources import commit_log, merkle, publishing
 
 MONTHS = files.expected_months("2015-01", "2017-06")
 
@@ -202,3 +202,104 @@ def ingest_fingerprint(spark, sf):
         return publishing.source_fingerprint(spark, path, folder).select("file", "digest")
 
     return publishing.file_status(prints(first), prints(second))
+
+
+#: events as text lines, in order of their number
+EVENT_LINES = "SELECT event_id, event_id || ',' || user_id || ',' || event_type AS line FROM events"
+RANGE_BYTES = 4096
+
+
+def _event_lines(spark, sf):
+    line = F.concat_ws(",", "event_id", "user_id", "event_type").alias("line")
+    return table(spark, sf, "events").select("event_id", line)
+
+
+def _write_lines(lines, order) -> str:
+    """Files in order: the tree of all of them together does not depend on where they are cut."""
+    path = scratch_path(lines.sparkSession, "lines")
+    lines.repartitionByRange(order).sortWithinPartitions(order).select("line").write.text(path)
+    return path
+
+
+def _tree_sql(lines: str, levels: int = 6) -> str:
+    """CTEs lef (the ranges) and top (the root) of the lines of a query (event_id, line)."""
+    steps = [
+        f"""lin AS (SELECT sha256(line) AS digest, octet_length(encode(line)) + 1 AS size,
+          sum(octet_length(encode(line)) + 1) OVER (ORDER BY event_id) - octet_length(encode(line)) - 1 AS start FROM ({lines})),
+        lef AS (SELECT (start // {RANGE_BYTES})::BIGINT AS block, min(start)::BIGINT AS start, sum(size)::BIGINT AS bytes, count(*) AS lines,
+          sha256(string_agg(digest, '' ORDER BY start)) AS digest FROM lin GROUP BY 1), n0 AS (SELECT block AS node, digest FROM lef)"""
+    ]
+    for level in range(levels):
+        # once one node is left, it is the root
+        steps.append(
+            f"""n{level + 1} AS (SELECT node, digest FROM n{level} WHERE (SELECT max(node) FROM n{level}) = 0 UNION ALL
+            SELECT node // 16, sha256(string_agg(digest, '' ORDER BY node)) FROM n{level} WHERE (SELECT max(node) FROM n{level}) > 0 GROUP BY 1)"""
+        )
+    return ", ".join(steps) + f""", top AS (SELECT sum(bytes)::BIGINT AS bytes, sum(lines)::BIGINT AS lines,
+      sha256(sum(bytes)::BIGINT || '|' || sum(lines)::BIGINT || '|' || (SELECT digest FROM n{levels})) AS digest FROM lef)"""
+
+
+@query("ingest_merkle", f"WITH {_tree_sql(EVENT_LINES)} SELECT 'all' AS file, * FROM top")
+def ingest_merkle(spark, sf):
+    path = _write_lines(_event_lines(spark, sf), "event_id")
+    return merkle.merkle_roots(merkle.merkle_leaves(spark, path, F.lit("all"), RANGE_BYTES))
+
+
+@query("ingest_merkle_ranges", f"WITH {_tree_sql(EVENT_LINES)} SELECT block, start, bytes, lines, digest FROM lef")
+def ingest_merkle_ranges(spark, sf):
+    path = _write_lines(_event_lines(spark, sf), "event_id")
+    return merkle.merkle_leaves(spark, path, F.lit("all"), RANGE_BYTES).drop("file")
+
+
+@query(
+    "ingest_first_difference",
+    f"""WITH mid AS (SELECT max(event_id) // 2 AS m FROM events), {_tree_sql(EVENT_LINES)},
+      hit AS (SELECT sum(octet_length(encode(line)) + 1) AS before FROM ({EVENT_LINES}), mid WHERE event_id < m)
+      SELECT 'all' AS file, block, start FROM lef, hit WHERE block = before // {RANGE_BYTES}""",
+)
+def ingest_first_difference(spark, sf):
+    """Two neighbouring lines change places; the range in which the first of them starts is named."""
+    lines = _event_lines(spark, sf)
+    middle = F.floor(table(spark, sf, "events").agg(F.max("event_id")).scalar() / 2)
+    place = F.when(F.col("event_id") == middle, middle + 1).when(F.col("event_id") == middle + 1, middle).otherwise(F.col("event_id"))
+    first = _write_lines(lines, "event_id")
+    second = _write_lines(lines.select(place.alias("event_id"), "line"), "event_id")
+    ranges = [merkle.merkle_leaves(spark, path, F.lit("all"), RANGE_BYTES) for path in (first, second)]
+    return merkle.first_difference(*ranges)
+
+
+@query(
+    "ingest_current",
+    f"""WITH {EV}, n AS (SELECT count(*) AS rows FROM ev)
+    SELECT state, reason, CASE WHEN state = 'before any load' THEN 0 ELSE rows END AS rows FROM n, (VALUES
+      ('before any load', 'no manifest'), ('as loaded', NULL),
+      ('another sample share', 'stored sample share None, asked for 0.5'),
+      ('two lines swapped', 'the source differs from the one that was loaded'),
+      ('a stored file gone', 'a stored file is missing or changed')) v(state, reason)""",
+)
+def ingest_current(spark, sf):
+    """What a loader is told in each state of source and store, with the rows published then."""
+    raw = raw_panel(spark, sf)
+    source, root = _write_csv(raw, scratch_path(spark, "raw-csv")), scratch_path(spark, "lake")
+    found = []
+
+    def note(state, share=None, path=source):
+        reason = publishing.current_reason(spark, root, path, share)
+        entry = publishing.published_version(spark, root)
+        found.append((state, reason, 0 if entry is None else entry["rows"]))
+
+    note("before any load")
+    publishing.load_unless_current(spark, source, root, EV_CATALOGUE, MONTHS)
+    note("as loaded")
+    note("another sample share", 0.5)
+    # every file with its lines the other way round but for the heading
+    lines = spark.read.text(source).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    swapped = scratch_path(spark, "swapped")
+    order = F.when(F.col("value").startswith("fecha_dato,"), -1).otherwise(-F.col("at") + (1 << 60))
+    lines.repartition("file").sortWithinPartitions("file", order).select("value").write.text(swapped)
+    note("two lines swapped", path=swapped)
+    entry = publishing.published_version(spark, root)
+    one = publishing.stored_files(spark, f"{root}/versions/{entry['version']}/rows").orderBy("file").first()["file"]
+    commit_log.remove_folder(spark, f"{root}/versions/{entry['version']}/rows/{one}")
+    note("a stored file gone")
+    return spark.createDataFrame(found, "state string, reason string, rows bigint")

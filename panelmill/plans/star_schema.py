@@ -2,8 +2,8 @@
 
 Which plan reads what: entity windows and joins on the entity read `fact`, which is bucketed and sorted by entity, so
 they need no shuffle; results of one period read `by_month`, which has a folder per period; event results read the
-stored `changes`. A version is visible once its row is appended to the list of builds, so a failed rebuild leaves the
-last good warehouse in place.
+stored `changes`. A version is visible once it is committed to the log of builds, so a failed rebuild leaves the
+last good warehouse in place, and of two rebuilds at once one fails.
 """
 
 from __future__ import annotations
@@ -19,8 +19,11 @@ from panelmill.operators.events import flag_changes
 from panelmill.operators.staging import stage_snapshots
 from panelmill.operators.warehouse import dim_entity, dim_period, dim_product, fact_panel, table_row_counts
 from panelmill.schema import ENTITY, PERIOD, Catalogue
+from panelmill.sources import commit_log
+from panelmill.sources.publishing import stored_files
 
-BUCKETS = 32
+#: bytes of the staged panel for each bucket of the fact, and the fewest buckets
+BUCKET_BYTES, BUCKETS = 128 << 20, 32
 
 
 @dataclass(frozen=True)
@@ -56,17 +59,40 @@ def star_schema(spark: SparkSession, stg: DataFrame, catalogue: Catalogue, first
 
 
 def build_warehouse(
-    spark: SparkSession, raw: DataFrame, catalogue: Catalogue, first_month: dt.date, path: str, buckets: int = BUCKETS
+    spark: SparkSession, raw: DataFrame, catalogue: Catalogue, first_month: dt.date, path: str, buckets: int | None = None
 ) -> Warehouse:
     """Stage the raw rows and store every table as a new version below `path`.
 
-    `buckets` should be so many that a bucket of the fact fits into a task. The rows are shuffled by entity once for
-    the staged panel and once for the bucketed fact; the changes then come from the fact without another shuffle.
+    The fact has as many buckets as the staged panel's stored bytes ask for, unless `buckets` says otherwise. The rows
+    are shuffled by entity once for the staged panel and once for the bucketed fact; the changes then come from the
+    fact without another shuffle. A build that fails leaves neither files nor a table.
     """
-    version = uuid.uuid4().hex
-    folder = f"{path}/versions/{version}"
+    base, version = commit_log.last_number(spark, path), uuid.uuid4().hex
+    try:
+        buckets = _write_tables(spark, raw, catalogue, first_month, f"{path}/versions/{version}", version, buckets)
+        commit_log.commit(spark, path, base, {"version": version, "buckets": buckets})
+    except Exception:
+        drop_version(spark, path, version)
+        raise
+    for left_over in commit_log.unnamed_versions(spark, path):
+        drop_version(spark, path, left_over)
+    return open_warehouse(spark, catalogue, first_month, path)
+
+
+def drop_version(spark: SparkSession, path: str, version: str) -> None:
+    """Remove a version's table and files."""
+    spark.sql(f"DROP TABLE IF EXISTS {_fact_name(version)}")
+    commit_log.remove_folder(spark, f"{path}/versions/{version}")
+
+
+def _write_tables(
+    spark: SparkSession, raw: DataFrame, catalogue: Catalogue, first_month: dt.date, folder: str, version: str, buckets: int | None
+) -> int:
     staged = stage_snapshots(raw, first_month)
     staged.hint("rebalance", ENTITY).sortWithinPartitions(ENTITY, PERIOD).write.parquet(f"{folder}/stg")
+    if buckets is None:
+        size = stored_files(spark, f"{folder}/stg").agg(F.sum("bytes")).first()[0] or 0
+        buckets = max(BUCKETS, -(-size // BUCKET_BYTES))
     plan = star_schema(spark, spark.read.parquet(f"{folder}/stg"), catalogue, first_month)
     plan.fact.repartition(buckets, ENTITY).write.bucketBy(buckets, ENTITY).sortBy(ENTITY, PERIOD).option(
         "path", f"{folder}/fact"
@@ -76,14 +102,14 @@ def build_warehouse(
     flag_changes(fact).write.parquet(f"{folder}/changes")
     for name in ("entities", "periods", "products"):
         getattr(plan, name).write.parquet(f"{folder}/{name}")
-    build = spark.range(1).select(F.lit(version).alias("version"), F.lit(buckets).alias("buckets"), F.current_timestamp().alias("built_at"))
-    build.coalesce(1).write.mode("append").json(f"{path}/builds")
-    return open_warehouse(spark, catalogue, first_month, path)
+    return buckets
 
 
 def open_warehouse(spark: SparkSession, catalogue: Catalogue, first_month: dt.date, path: str) -> Warehouse:
     """The newest complete version below `path`."""
-    newest = spark.read.json(f"{path}/builds").orderBy(F.desc("built_at"), "version").first()
+    newest = commit_log.newest(spark, path)
+    if newest is None:
+        raise FileNotFoundError(f"no warehouse was built in {path}")
     folder, name = f"{path}/versions/{newest['version']}", _fact_name(newest["version"])
     stored = spark.read.parquet(f"{folder}/fact")
     if not spark.catalog.tableExists(name):

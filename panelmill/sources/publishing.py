@@ -1,7 +1,7 @@
-"""Partitioned storage with a manifest. A version becomes visible only when its manifest row is committed.
+"""Partitioned storage with a manifest. A version becomes visible only when its manifest is committed to the log.
 
-Readers ask the manifest for the newest version, so a failed or half-written load is never seen, and no
-folder has to be renamed, which object stores cannot do atomically.
+Readers ask the log for the newest version, so a failed or half-written load is never seen, and no folder has to be
+renamed, which object stores cannot do atomically. Of two writers that start from the same version one fails.
 """
 
 from __future__ import annotations
@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelmill.schema import Catalogue
+from panelmill.session import cut_lineage
+from panelmill.sources import commit_log
 from panelmill.sources.holdings_file import ENTITY_COLUMN, HOLDINGS_CATALOGUE, IngestError, load_checked
+from panelmill.sources.merkle import first_difference, merkle_leaves, merkle_roots
 
 MANIFEST_VERSION = 1
 
@@ -64,7 +67,8 @@ def source_fingerprint(spark: SparkSession, path: str, key: Column | None = None
     are fingerprinted together, for example by folder.
 
     Lines are hashed where they are read and two 60-bit pieces of each hash are summed, so a file of any
-    size is fingerprinted by many tasks. The order of the lines does not count.
+    size is fingerprinted by many tasks. The order of the lines does not count, which suits folders that were written by
+    many tasks; `merkle.py` has fingerprints in order.
     """
     digest = F.sha2("value", 256)
 
@@ -142,47 +146,61 @@ def publish(
     sample_share: float | None = None,
     expected_rows: int | None = None,
     expected_periods: Sequence[str] | None = None,
-    source_files: Sequence[Mapping[str, object]] = (),
+    source_leaves: DataFrame | None = None,
+    base: int | None = None,
 ) -> dict[str, object]:
-    """Write a new version, read it back, check it, and only then commit its manifest row.
+    """Write a new version, read it back, check it, and only then commit its manifest.
 
-    The row also lists the stored files and the fingerprints of the source files (one entry per file), which tell
-    later whether the version is still current.
+    `base` is the log number that the writer started from (that of now, if not given): CommitConflict if another writer
+    has committed since. A version that fails its checks or its commit is removed at once, one whose writer died
+    by a later publication. The manifest also lists the stored files and the fingerprints of the source files, whose
+    ranges (`source_leaves`) are stored beside the version; they tell later whether it is still current.
     """
     spark = rows.sparkSession
+    base = commit_log.last_number(spark, root) if base is None else base
     version = uuid.uuid4().hex
-    write_by_period(rows, f"{root}/versions/{version}", period)
-    stored = read_by_period(spark, f"{root}/versions/{version}", rows.schema)
-    entry = manifest(stored, entity, period, sample_share).first().asDict(recursive=True)
-    found = [item["period"] for item in entry["rows_per_period"]]
-    if expected_rows is not None and entry["rows"] != expected_rows:
-        raise IngestError(f"{entry['rows']} rows were stored, {expected_rows} expected")
-    if expected_periods is not None and found != list(expected_periods):
-        raise IngestError(f"periods {found} were stored, {list(expected_periods)} expected")
-    files = [row.asDict() for row in stored_files(spark, f"{root}/versions/{version}").orderBy("file").collect()]
-    entry |= {
-        "version": version,
-        "row_schema": rows.schema.json(),
-        "source_rows": expected_rows,
-        "source_files": list(source_files),
-        "files": files,
-        "bytes": sum(file["bytes"] for file in files),
-    }
-    row = spark.createDataFrame([(json.dumps(entry),)], "entry string").withColumn("published_at", F.current_timestamp())
-    row.coalesce(1).write.mode("append").json(f"{root}/manifest")
+    folder = f"{root}/versions/{version}"
+    try:
+        write_by_period(rows, f"{folder}/rows", period)
+        stored = read_by_period(spark, f"{folder}/rows", rows.schema)
+        entry = manifest(stored, entity, period, sample_share).first().asDict(recursive=True)
+        found = [item["period"] for item in entry["rows_per_period"]]
+        if expected_rows is not None and entry["rows"] != expected_rows:
+            raise IngestError(f"{entry['rows']} rows were stored, {expected_rows} expected")
+        if expected_periods is not None and found != list(expected_periods):
+            raise IngestError(f"periods {found} were stored, {list(expected_periods)} expected")
+        files = [row.asDict() for row in stored_files(spark, f"{folder}/rows").orderBy("file").collect()]
+        sources = []
+        if source_leaves is not None:
+            source_leaves.write.parquet(f"{root}/sources/{version}")
+            roots = merkle_roots(spark.read.parquet(f"{root}/sources/{version}"))
+            sources = [row.asDict() for row in roots.orderBy("file").collect()]
+        entry |= {
+            "version": version,
+            "row_schema": rows.schema.json(),
+            "source_rows": expected_rows,
+            "source_files": sources,
+            "files": files,
+            "bytes": sum(file["bytes"] for file in files),
+        }
+        commit_log.commit(spark, root, base, entry)
+    except Exception:
+        remove_version(spark, root, version)
+        raise
+    for left_over in commit_log.unnamed_versions(spark, root):
+        remove_version(spark, root, left_over)
     return entry
 
 
+def remove_version(spark: SparkSession, root: str, version: str) -> None:
+    """Remove the files of a version and the fingerprints of its source."""
+    commit_log.remove_folder(spark, f"{root}/versions/{version}")
+    commit_log.remove_folder(spark, f"{root}/sources/{version}")
+
+
 def published_version(spark: SparkSession, root: str) -> dict[str, object] | None:
-    """The newest manifest row, or None before the first publication."""
-    try:
-        rows = spark.read.json(f"{root}/manifest")
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
-    newest = rows.orderBy(F.desc("published_at"), "entry").limit(1).collect()
-    return json.loads(newest[0]["entry"]) if newest else None
+    """The newest manifest, or None before the first publication."""
+    return commit_log.newest(spark, root)
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame:
@@ -191,24 +209,36 @@ def read_published(spark: SparkSession, root: str) -> DataFrame:
     if entry is None:
         raise IngestError(f"nothing is published in {root}")
     schema = T.StructType.fromJson(json.loads(str(entry["row_schema"])))
-    return read_by_period(spark, f"{root}/versions/{entry['version']}", schema)
+    return read_by_period(spark, f"{root}/versions/{entry['version']}/rows", schema)
 
 
 LISTING, FINGERPRINT = "file string, bytes bigint", "file string, bytes bigint, lines bigint, digest string"
 
 
-def current_reason(spark: SparkSession, root: str, source: str, sample_share: float | None = None) -> str | None:
-    """Why the newest version cannot be used for the source files at `source`, or None when it can."""
+def current_reason(
+    spark: SparkSession, root: str, source: str, sample_share: float | None = None, leaves: DataFrame | None = None
+) -> str | None:
+    """Why the newest version cannot be used for the source files at `source`, or None when it can. leaves: the byte
+    ranges of the source, if known already."""
     entry = published_version(spark, root)
     if entry is None or rebuild_reason(entry, sample_share, None, None):
         return rebuild_reason(entry, sample_share, None, None)
     listed = spark.createDataFrame([(f["file"], f["bytes"]) for f in entry["files"]], LISTING)
-    status = file_status(listed, stored_files(spark, f"{root}/versions/{entry['version']}"))
+    status = file_status(listed, stored_files(spark, f"{root}/versions/{entry['version']}/rows"))
     known = [(f["file"], f["bytes"], f["lines"], f["digest"]) for f in entry["source_files"]]
-    origin = file_status(spark.createDataFrame(known, FINGERPRINT), source_fingerprint(spark, source))
+    leaves = merkle_leaves(spark, source) if leaves is None else leaves
+    origin = file_status(spark.createDataFrame(known, FINGERPRINT), merkle_roots(leaves))
     return rebuild_reason(entry, sample_share, status, origin)
 
 
+def source_difference(spark: SparkSession, root: str, source: str) -> DataFrame:
+    """file, block and start of the first byte range that differs in every source file that is not as it was loaded."""
+    entry = published_version(spark, root)
+    if entry is None or not entry["source_files"]:
+        raise IngestError(f"{root} has no published version with the fingerprints of its source")
+    return first_difference(spark.read.parquet(f"{root}/sources/{entry['version']}"), merkle_leaves(spark, source))
+
+
 def load_unless_current(
     spark: SparkSession,
     source: str,
@@ -218,10 +248,11 @@ def load_unless_current(
     sample_share: float | None = None,
 ) -> tuple[DataFrame, str | None]:
     """The published rows of a raw source, loaded and published first if need be, and the reason for that."""
-    reason = current_reason(spark, root, source, sample_share)
+    base = commit_log.last_number(spark, root)
+    leaves = cut_lineage(merkle_leaves(spark, source))
+    reason = current_reason(spark, root, source, sample_share, leaves)
     if reason is not None:
-        fingerprints = [row.asDict() for row in source_fingerprint(spark, source).orderBy("file").collect()]
         rows, facts = load_checked(spark, source, catalogue, months, sample_share)
         expected = facts["source_rows"] if sample_share is None else None
-        publish(rows, root, ENTITY_COLUMN, "month", sample_share, expected, months, fingerprints)
+        publish(rows, root, ENTITY_COLUMN, "month", sample_share, expected, months, leaves, base)
     return read_published(spark, root), reason
