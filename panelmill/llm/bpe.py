@@ -38,6 +38,8 @@ def _load(path: str):
 #: letters that stay one letter in lower case
 _LATIN = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1)
 _WORD = re.compile("[" + "".join(sorted(_LATIN)) + "]+").fullmatch
+#: text whose lower case is that of its characters one by one, and composed already
+_SIMPLE_CASE = re.compile("[\x00-\u012f\u0131-\u024f]*").fullmatch
 
 
 def _core_and_tail(unit: str) -> tuple[str, str]:
@@ -46,6 +48,27 @@ def _core_and_tail(unit: str) -> tuple[str, str]:
     return (core, unit[len(core) :]) if core and len(core) < len(unit) and core[-1] in _LATIN else (unit, "")
 
 
+class Memo:
+    """Values by text in two generations: when the younger one is full it becomes the older, and what is asked for again
+    moves back. Rare texts are forgotten, frequent ones are not."""
+
+    def __init__(self, limit: int) -> None:
+        self._limit = limit
+        self.young: dict = {}
+        self._old: dict = {}
+
+    def unknown(self, texts: set[str]) -> set[str]:
+        """Those of the texts without a value; the others are in `young` from here on, until the next call."""
+        if len(self.young) > self._limit:
+            self._old, self.young = self.young, {}
+        new = texts.difference(self.young)
+        if self._old:
+            back = new.intersection(self._old)
+            self.young.update((text, self._old[text]) for text in back)
+            new -= back
+        return new
+
+
 def _odd_spaces(text: str) -> bool:
     """Whether some space may have white space beside it, or the text begins or ends with any."""
     return (
@@ -90,9 +113,7 @@ class ByteLevelCounts:
         self._starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, number in vocabulary.items():
             self._starts[number] = token.startswith("Ġ")
-        self._units: dict[str, int] = {}
-        self._cores: dict[str, int] = {}
-        self._bare: dict[str, int] = {}
+        self._units, self._cores, self._bare = Memo(MEMO_UNITS), Memo(MEMO_PARTS), Memo(MEMO_UNITS)
 
     def _encode(self, texts: list[str]) -> Iterator[list[int]]:
         for batch in _by_bytes(texts):
@@ -100,22 +121,15 @@ class ByteLevelCounts:
                 yield encoding.ids
 
     def _learn_bare(self, units: set[str]) -> None:
-        known = self._bare
-        if len(known) > MEMO_UNITS:
-            known.clear()
-        todo = [unit for unit in units if unit not in known]
-        known.update(zip(todo, map(len, self._encode(todo))))
+        todo = list(self._bare.unknown(units))
+        self._bare.young.update(zip(todo, map(len, self._encode(todo))))
 
     def _learn_after_space(self, units: set[str], odd: bool) -> None:
         """Token counts of each unit with one space before it; odd: some unit may have white space at an end."""
-        known, of_core = self._units, self._cores
-        if len(known) > MEMO_UNITS:
-            known.clear()
-        if len(of_core) > MEMO_PARTS:
-            of_core.clear()
-        split = [(unit, *_core_and_tail(unit)) for unit in units.difference(known)]
+        split = [(unit, *_core_and_tail(unit)) for unit in self._units.unknown(units)]
         self._learn_bare({tail for _, _, tail in split if tail})
-        cores = list({core for _, core, _ in split}.difference(of_core))
+        cores = list(self._cores.unknown({core for _, core, _ in split}))
+        known, of_core = self._units.young, self._cores.young
         groups = list(_joined(cores if not odd else (core for core in cores if not _odd_spaces(core) and " " not in core)))
         for group, ids in zip(groups, self._encode([" " + " ".join(group) for group in groups])):
             starts = np.flatnonzero(self._starts[np.asarray(ids)])
@@ -124,7 +138,7 @@ class ByteLevelCounts:
         rest = [core for core in cores if core not in of_core]
         of_core.update(zip(rest, map(len, self._encode([" " + core for core in rest]))))
         for unit, core, tail in split:
-            known[unit] = of_core[core] + (self._bare[tail] if tail else 0)
+            known[unit] = of_core[core] + (self._bare.young[tail] if tail else 0)
 
     def count(self, texts: Iterable[str | None], rows: int) -> np.ndarray:
         totals = np.zeros(rows, dtype=np.int64)
@@ -141,7 +155,7 @@ class ByteLevelCounts:
             self._learn_bare(bare)
             for row, first, parts in parted:
                 spaced = parts[1:] if first else parts
-                totals[row] += sum(map(self._units.__getitem__, spaced)) + (self._bare[parts[0]] if first else 0)
+                totals[row] += sum(map(self._units.young.__getitem__, spaced)) + (self._bare.young[parts[0]] if first else 0)
         return totals
 
 
@@ -156,33 +170,38 @@ class WordEndIds:
             self._ends[number] = token.endswith("</w>")
         # these are looked for in the raw text, so lower case must not bring one about
         self._special = [token.content for token in self._tokenizer.get_added_tokens_decoder().values()]
-        self._units: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
+        self._special_begin = {text[0] for text in self._special}
+        self._units, self._parts = Memo(MEMO_UNITS), Memo(MEMO_PARTS)
 
     def _folded(self, core: str) -> str:
         """The core in lower case, if it has the same ids then."""
         if not core.isascii():
             return core
         low = core.lower()
+        if self._special_begin.isdisjoint(core):
+            return low
         return core if any(one in low for one in self._special) else low
 
+    def _folded_text(self, text: str) -> str:
+        """The text in lower case, if it has the same ids then: fewer different units are left."""
+        if any(begin in text for begin in self._special_begin) or not _SIMPLE_CASE(text):
+            return text
+        return text.lower()
+
     def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for batch in _by_bytes(texts):
             for encoding in self._tokenizer.encode_batch(batch, add_special_tokens=False):
                 yield np.asarray(encoding.ids, dtype="<u4")
 
     def _learn(self, units: set[str]) -> None:
-        known, of_part = self._units, self._parts
-        if len(known) > MEMO_UNITS:
-            known.clear()
-        if len(of_part) > MEMO_PARTS:
-            of_part.clear()
-        of_part[""] = b""
         split = []
-        for unit in units.difference(known):
+        for unit in self._units.unknown(units):
             core, tail = _core_and_tail(unit)
             split.append((unit, self._folded(core), tail))
-        parts = {core for _, core, _ in split}.union(tail for _, _, tail in split).difference(of_part)
+        parts = self._parts.unknown({core for _, core, _ in split}.union(tail for _, _, tail in split))
+        known, of_part = self._units.young, self._parts.young
+        of_part[""] = b""
+        parts.discard("")
         groups = list(_joined(part for part in parts if _WORD(part)))
         for group, ids in zip(groups, self._encode([" ".join(group) for group in groups])):
             ends = np.flatnonzero(self._ends[ids]) + 1
@@ -200,14 +219,14 @@ class WordEndIds:
         for held in balanced(texts, SLICE_CHARS):
             parted = [
                 (row, _SPACE_OR_LINE.split(segment) if _ODD_WHITE.search(segment) else segment.split())
-                for row, _, segment in held
+                for row, segment in ((row, self._folded_text(segment)) for row, _, segment in held)
             ]
             self._learn(set().union(*(parts for _, parts in parted)))
             for row, parts in parted:
                 while done < row:
                     yield b"".join(pending)
                     done, pending = done + 1, []
-                pending.append(b"".join(map(self._units.__getitem__, parts)))
+                pending.append(b"".join(map(self._units.young.__getitem__, parts)))
         while done < len(texts):
             yield b"".join(pending)
             done, pending = done + 1, []
