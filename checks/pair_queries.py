@@ -117,6 +117,35 @@ def pair_equivalence(spark, sf):
     return pairs.result_difference(pairs.events_by_self_join(panel), pairs.events_by_window(panel))
 
 
+#: CTEs cannot be repeated under one name, so each answer is a table of its own
+ALL_PAIRS = f"""SELECT pair, n AS rows_left, n - gone AS rows_right, gone AS rows_different, gone = 0 AS equivalent FROM (
+    SELECT 'events' AS pair, count(*) AS n, 0 AS gone FROM ({EV_COUNTS})
+    UNION ALL SELECT 'events, one row short', count(*), 1 FROM ({EV_COUNTS})
+    UNION ALL SELECT 'snapshot', count(*), 0 FROM ({SNAPSHOT})
+    UNION ALL SELECT 'summary', count(*), 0 FROM ({BREADTH})
+    UNION ALL SELECT 'running count', count(*), 0 FROM ({RUNNING}))"""
+
+
+@query("pair_equivalence_all", ALL_PAIRS.replace(", 0 AS gone", ", 0::BIGINT AS gone"))
+def pair_equivalence_all(spark, sf):
+    """All four pairs, and a control that must differ: one of its results lacks its last row."""
+    panel, fact = ev_panel(spark, sf), ev_warehouse(spark, sf).fact
+    months = read_months(spark, write_months(spark, sf))
+    path = scratch_path(spark, "entity-summary")
+    pairs.entity_summary(fact).write.parquet(path)
+    windowed = pairs.events_by_window(panel)
+    short = windowed.filter(F.col("product_code") != windowed.agg(F.max("product_code")).scalar())
+    return pairs.equivalence(
+        {
+            "events": (pairs.events_by_self_join(panel), windowed),
+            "events, one row short": (windowed, short),
+            "snapshot": (pairs.snapshot_full_scan(months, LAST_LABEL, TARGET, "fecha_dato"), pairs.snapshot_pruned(months, LAST_LABEL, TARGET)),
+            "summary": (pairs.summary_by_breadth(pairs.entity_summary(fact)), pairs.summary_by_breadth(spark.read.parquet(path))),
+            "running count": (pairs.running_active_by_range_join(fact), pairs.running_active_by_window(fact)),
+        }
+    )
+
+
 @query(
     "pair_timing",
     """WITH t AS (SELECT event_type AS pair, user_id % 3 AS role, value AS seconds FROM events),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,27 +100,27 @@ def running_active_by_window(fact: DataFrame) -> DataFrame:
     return _distribution(fact.select(F.sum(active).over(so_far).alias("active_months_so_far")))
 
 
+def _comparable(df: DataFrame, digits: int) -> DataFrame:
+    numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+    kinds = dict(df.dtypes)
+    return df.select(
+        *[
+            (
+                F.round(F.col(name).cast("double"), digits)
+                if kinds[name] in numeric or kinds[name].startswith("decimal")
+                else F.col(name).cast("string")
+            ).alias(name)
+            for name in sorted(df.columns)
+        ]
+    )
+
+
 def result_difference(left: DataFrame, right: DataFrame, digits: int = 6) -> DataFrame:
     """Rows that only one of the results has, as often as it has them more; empty when they agree.
     Numbers are compared as doubles rounded to `digits`, everything else as text."""
     if set(left.columns) != set(right.columns):
         raise ValueError(f"columns differ: {sorted(left.columns)} and {sorted(right.columns)}")
-    numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
-
-    def comparable(df: DataFrame) -> DataFrame:
-        kinds = dict(df.dtypes)
-        return df.select(
-            *[
-                (
-                    F.round(F.col(name).cast("double"), digits)
-                    if kinds[name] in numeric or kinds[name].startswith("decimal")
-                    else F.col(name).cast("string")
-                ).alias(name)
-                for name in sorted(df.columns)
-            ]
-        )
-
-    one, other = comparable(left), comparable(right)
+    one, other = _comparable(left, digits), _comparable(right, digits)
     return (
         one.exceptAll(other)
         .withColumn("only_in", F.lit("left"))
@@ -126,6 +128,32 @@ def result_difference(left: DataFrame, right: DataFrame, digits: int = 6) -> Dat
     )
 
 
+def fingerprint(df: DataFrame, digits: int = 6) -> DataFrame:
+    """One row that two results share if they hold the same rows equally often, in any order: the number of rows and the
+    sums of two independent hashes of them. Numbers count as in `result_difference`."""
+    comparable = _comparable(df, digits)
+    # a hash passes over NULLs, so which columns are NULL is hashed as well
+    parts = [column for name in comparable.columns for column in (F.col(name), F.col(name).isNull())]
+    one, other = F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)
+    return comparable.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.coalesce(F.sum(value.cast("decimal(38,0)")), F.lit(0)).alias(name) for name, value in (("one", one), ("other", other))],
+    )
+
+
+def equivalence(results: Mapping[str, tuple[DataFrame, DataFrame]], digits: int = 6) -> DataFrame:
+    """pair, rows of both forms, rows that only one of them has, and whether they agree.
+
+    Both forms are read once for their fingerprint; rows are compared singly only where the fingerprints differ.
+    """
+    spark, found = next(iter(results.values()))[0].sparkSession, []
+    for name, (left, right) in results.items():
+        one, other = fingerprint(left, digits).first(), fingerprint(right, digits).first()
+        differing = 0 if one == other else result_difference(left, right, digits).count()
+        found.append((name, one["rows"], other["rows"], differing, one == other))
+    return spark.createDataFrame(found, "pair string, rows_left bigint, rows_right bigint, rows_different bigint, equivalent boolean")
+
+
 def timing_statistics(timings: DataFrame) -> DataFrame:
     """From recorded runs (pair, role, seconds) with roles baseline, candidate and build: the medians, the
     faster form, slower / faster, and after how many queries a build has paid for itself."""
