@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from panelmill.functions.columns import ratio
 from panelmill.operators.evaluation import score_metrics
 from panelmill.operators.features import BINARY_FEATURES, CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from panelmill.operators.newton import newton_logistic
 from panelmill.operators.order_index import order_index
 from panelmill.operators.ranking import running_totals
 from panelmill.operators.shuffling import shuffled_place
+from panelmill.session import cut_lineage
 
 OTHER = "other"
 
@@ -193,38 +195,47 @@ def _both_classes(rows: DataFrame, name: str):
 
 @dataclass(frozen=True)
 class FittedModel:
+    """`coefficients` belong to `feature_names`; models that are not linear have none."""
+
     name: str
     pipeline: PipelineModel
     feature_names: list[str]
+    coefficients: list[float] | None = None
 
     def raw_scores(self, rows: DataFrame) -> DataFrame:
         """Rows with the probability of the positive class as `score`."""
         scored = self.pipeline.transform(rows)
-        return scored.withColumn("score", vector_to_array("probability")[1]).drop(
-            "features", "rawPrediction", "probability", "prediction"
-        )
+        if "probability" in scored.columns:
+            scored = scored.withColumn("score", vector_to_array("probability")[1])
+        return scored.drop("features", "rawPrediction", "probability", "prediction")
+
+
+def _sigmoid_stage(raw: str, slope: float, intercept: float) -> SQLTransformer:
+    margin = f"({slope!r}D * {raw} + {intercept!r}D)"
+    return SQLTransformer(statement=f"SELECT * EXCEPT ({raw}), 1D / (1D + exp(-{margin})) AS score FROM __THIS__")
 
 
 def fit_logistic(
-    train: DataFrame, columns: FeatureColumns, top: int = 10, max_iter: int = 2000, inverse_penalty: float = 1.0
+    train: DataFrame, columns: FeatureColumns, top: int = 10, max_iter: int = 50, inverse_penalty: float = 1.0
 ) -> FittedModel:
-    """Class-balanced logistic regression with an L2 penalty of 1 / (C n)."""
+    """Class-balanced logistic regression with an L2 penalty of 1 / (C n), by distributed Newton steps.
+
+    The fitted pipeline is plain SQL: inputs, log-odds, score. Stores the prepared training rows.
+    """
     counts = _both_classes(train, "training")
     stages, names = fit_preprocess(train, columns, top)
     n, positives = counts["rows"], counts["positives"]
     weight = F.when(F.col("label") == 1, n / (2.0 * positives)).otherwise(n / (2.0 * (n - positives)))
-    prepared = PipelineModel(stages).transform(train.withColumn("_w", weight))
-    model = LogisticRegression(
-        featuresCol="features",
-        labelCol="label",
-        weightCol="_w",
-        maxIter=max_iter,
-        regParam=1.0 / (inverse_penalty * n),
-        elasticNetParam=0.0,
-        standardization=False,
-        tol=1e-8,
-    ).fit(prepared.select("features", "label", "_w"))
-    return FittedModel("logistic_regression", PipelineModel([*stages, model]), names)
+    prepared = PipelineModel(stages).transform(train)
+    rows = cut_lineage(
+        prepared.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"), weight.alias("w"))
+    )
+    coefficients, intercept = newton_logistic(rows, len(names), 1.0 / inverse_penalty, max_iter)
+    inputs = [f"_x{place}" for place in range(len(names))]
+    margin = " + ".join([f"{intercept!r}D", *[f"{value!r}D * {name}" for value, name in zip(coefficients, inputs, strict=True)]])
+    odds = SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(inputs)}), {margin} AS _margin FROM __THIS__")
+    pipeline = PipelineModel([stages[0], odds, _sigmoid_stage("_margin", 1.0, 0.0)])
+    return FittedModel("logistic_regression", pipeline, names, coefficients)
 
 
 def fit_boosted_trees(
@@ -318,19 +329,25 @@ def select_model(metrics: DataFrame) -> DataFrame:
 
 
 def fit_calibration(model: FittedModel, validation: DataFrame) -> FittedModel:
-    """Sigmoid calibration of a frozen model: smoothed targets, each row as a weighted positive and a
-    weighted negative of a one-feature logistic regression without penalty."""
+    """Sigmoid calibration of a frozen model: a one-feature logistic regression of smoothed targets without penalty."""
     counts = _both_classes(validation, "validation")
     high = (counts["positives"] + 1.0) / (counts["positives"] + 2.0)
     low = 1.0 / (counts["negatives"] + 2.0)
-    # Trees are calibrated on their probability, the regression on its log-odds.
-    source = "rawPrediction" if model.name == "logistic_regression" else "probability"
-    one_value = VectorSlicer(inputCol=source, outputCol="_raw", indices=[1])
+    target = F.when(F.col("label") == 1, high).otherwise(low)
+    name, names = f"{model.name}_calibrated", model.feature_names
+    if model.coefficients is not None:
+        # A linear model is calibrated on its log-odds, which its last stage turns into the score.
+        before = PipelineModel(model.pipeline.stages[:-1])
+        rows = before.transform(validation).select(F.array("_margin").alias("x"), target.alias("y"), F.lit(1.0).alias("w"))
+        (slope,), intercept = newton_logistic(cut_lineage(rows), 1)
+        stages = [*before.stages, _sigmoid_stage("_margin", slope, intercept)]
+        return FittedModel(name, PipelineModel(stages), names, model.coefficients)
+    # Trees are calibrated on their probability, a vector.
+    one_value = VectorSlicer(inputCol="probability", outputCol="_raw", indices=[1])
     rename = SQLTransformer(
         statement="SELECT * EXCEPT (features, rawPrediction, probability, prediction) FROM __THIS__"
     )
     before = PipelineModel([*model.pipeline.stages, one_value, rename])
-    target = F.when(F.col("label") == 1, high).otherwise(low)
     doubled = before.transform(validation).select(
         "_raw",
         F.inline(
@@ -344,7 +361,7 @@ def fit_calibration(model: FittedModel, validation: DataFrame) -> FittedModel:
         featuresCol="_raw", labelCol="_y", weightCol="_w", regParam=0.0, maxIter=200, tol=1e-10
     ).fit(doubled)
     tidy = SQLTransformer(statement="SELECT * EXCEPT (_raw) FROM __THIS__")
-    return FittedModel(f"{model.name}_calibrated", PipelineModel([*before.stages, sigmoid, tidy]), model.feature_names)
+    return FittedModel(name, PipelineModel([*before.stages, sigmoid, tidy]), names)
 
 
 def calibration_gain(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -360,23 +377,25 @@ def calibration_gain(before: DataFrame, after: DataFrame) -> DataFrame:
 def save_model(model: FittedModel, path: str) -> None:
     model.pipeline.write().save(f"{path}/pipeline")
     spark = SparkSession.active()
+    values = model.coefficients or [None] * len(model.feature_names)
     spark.createDataFrame(
-        [(model.name, place, name) for place, name in enumerate(model.feature_names)],
-        "model string, place int, feature string",
+        [(model.name, place, *pair) for place, pair in enumerate(zip(model.feature_names, values, strict=True))],
+        "model string, place int, feature string, coefficient double",
     ).coalesce(1).write.parquet(f"{path}/features")
 
 
 def load_model(spark: SparkSession, path: str) -> FittedModel:
     rows = spark.read.parquet(f"{path}/features").orderBy("place").collect()  # one row per feature
-    return FittedModel(rows[0]["model"], PipelineModel.load(f"{path}/pipeline"), [row["feature"] for row in rows])
+    values = [row["coefficient"] for row in rows]
+    linear = values if values and None not in values else None
+    return FittedModel(rows[0]["model"], PipelineModel.load(f"{path}/pipeline"), [row["feature"] for row in rows], linear)
 
 
 def odds_ratios(model: FittedModel, top: int = 15) -> DataFrame:
-    """The largest coefficients of a logistic regression as odds ratios."""
-    regression = model.pipeline.stages[-1]
-    rows = [
-        (name, float(value)) for name, value in zip(model.feature_names, regression.coefficients.toArray(), strict=True)
-    ]
+    """The largest coefficients of a linear model as odds ratios."""
+    if model.coefficients is None:
+        raise ValueError(f"{model.name} has no coefficients")
+    rows = list(zip(model.feature_names, model.coefficients, strict=True))
     table = SparkSession.active().createDataFrame(rows, "feature string, log_odds double")
     return (
         table.withColumn("odds_ratio", F.exp("log_odds")).orderBy(F.desc(F.abs("log_odds")), "feature").limit(top)

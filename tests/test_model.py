@@ -104,13 +104,30 @@ def solve_logistic(matrix, labels):
 def test_logistic_is_the_balanced_penalised_optimum(train, logistic):
     from pyspark.ml import PipelineModel
 
-    prepared = PipelineModel(logistic.pipeline.stages[:-1]).transform(train).select(
-        vector_to_array("features").alias("f"), "label"
-    ).collect()
+    stages, names = model.fit_preprocess(train, COLUMNS)
+    prepared = PipelineModel(stages).transform(train).select(vector_to_array("features").alias("f"), "label").collect()
     expected = solve_logistic(np.array([r["f"] for r in prepared]), np.array([r["label"] for r in prepared]))
-    fitted = logistic.pipeline.stages[-1]
-    assert np.allclose(fitted.coefficients.toArray(), expected[:-1], atol=2e-3)
-    assert fitted.intercept == pytest.approx(expected[-1], abs=2e-3)
+    assert logistic.feature_names == names and np.allclose(logistic.coefficients, expected[:-1], atol=1e-9)
+    first = logistic.raw_scores(train.filter("tie = 0")).first()["score"]
+    inputs = PipelineModel(stages).transform(train.filter("tie = 0")).select(vector_to_array("features")).first()[0]
+    assert first == pytest.approx(1 / (1 + np.exp(-(np.array(inputs) @ expected[:-1] + expected[-1]))), abs=1e-9)
+
+
+def test_newton_sums_do_not_depend_on_partitions(spark):
+    from panelmill.operators.newton import newton_logistic
+
+    rng = np.random.default_rng(3)
+    rows = [(rng.normal(size=3).tolist(), float(rng.random()), float(rng.random())) for _ in range(500)]
+    df = spark.createDataFrame(rows, "x array<double>, y double, w double")
+    one, other = (newton_logistic(df.repartition(parts), 3, 0.5) for parts in (1, 7))
+    assert np.allclose(one[0], other[0], atol=1e-11) and one[1] == pytest.approx(other[1], abs=1e-11)
+    assert newton_logistic(df.limit(0), 3, 0.5) == ([0.0, 0.0, 0.0], 0.0)
+    # two equal columns and no penalty: no unique solution, but one is found
+    twice = df.select(F.array(F.col("x")[0], F.col("x")[0]).alias("x"), "y", "w")
+    (a, b), _ = newton_logistic(twice, 2)
+    assert a == pytest.approx(b)
+    with pytest.raises(Exception, match="not finite"):
+        newton_logistic(spark.createDataFrame([([float("nan")], 1.0, 1.0)], "x array<double>, y double, w double"), 1)
 
 
 def test_models_beat_the_baselines(train, validation, logistic):
