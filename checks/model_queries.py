@@ -70,42 +70,47 @@ def preprocess_levels(spark, sf):
     return model.top_levels(rows_of(spark, sf, "train"), COLUMNS.categorical)
 
 
-def _feature_answer() -> str:
-    """Every preprocessed feature of the validation rows, long form."""
+def _prepared(of: str) -> str:
+    """`prp`: every preprocessed feature of the rows `of`, long form."""
     key = "customer_id, feature_month"
     parts = []
     for name in COLUMNS.numeric:
         parts.append(
-            f"""SELECT {key}, '{name}' AS feature, (coalesce(v.{name}, s.med) - s.mean) / s.sd AS value FROM vld v, (
+            f"""SELECT {key}, '{name}' AS feature, (coalesce(v.{name}, s.med) - s.mean) / s.sd AS value FROM {of} v, (
             SELECT med, avg(coalesce({name}, med)) AS mean, coalesce(nullif(stddev_pop(coalesce({name}, med)), 0), 1) AS sd
             FROM trn, (SELECT median({name})::DOUBLE AS med FROM trn) GROUP BY med) s"""
         )
         parts.append(
-            f"""SELECT {key}, '{name}_missing', ((v.{name} IS NULL)::INTEGER - s.mean) / s.sd FROM vld v, (
+            f"""SELECT {key}, '{name}_missing', ((v.{name} IS NULL)::INTEGER - s.mean) / s.sd FROM {of} v, (
             SELECT avg(({name} IS NULL)::INTEGER) AS mean, coalesce(nullif(stddev_pop(({name} IS NULL)::INTEGER), 0), 1) AS sd
             FROM trn HAVING bool_or({name} IS NULL)) s"""
         )
     for name in COLUMNS.zero_one:
         parts.append(
-            f"""SELECT {key}, '{name}', coalesce(v.{name}, s.m)::DOUBLE FROM vld v, (SELECT {name} AS m FROM trn
+            f"""SELECT {key}, '{name}', coalesce(v.{name}, s.m)::DOUBLE FROM {of} v, (SELECT {name} AS m FROM trn
             WHERE {name} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) s"""
         )
     for name in COLUMNS.categorical:
         levels = f"""(SELECT level FROM (SELECT {name} AS level, row_number() OVER (ORDER BY count(*) DESC, {name} DESC) AS place,
             count(*) OVER () AS n FROM trn GROUP BY 1) WHERE n <= 11 OR place <= 10)"""
-        parts.append(f"SELECT {key}, '{name}=' || k.level, (v.{name} = k.level)::INTEGER::DOUBLE FROM vld v, {levels} k")
+        parts.append(f"SELECT {key}, '{name}=' || k.level, (v.{name} = k.level)::INTEGER::DOUBLE FROM {of} v, {levels} k")
         parts.append(
-            f"""SELECT {key}, '{name}=other levels', (v.{name} NOT IN {levels})::INTEGER::DOUBLE FROM vld v
+            f"""SELECT {key}, '{name}=other levels', (v.{name} NOT IN {levels})::INTEGER::DOUBLE FROM {of} v
             WHERE (SELECT count(DISTINCT {name}) FROM trn) > 11"""
         )
-    exact = ROWS.replace("round(ln(s.income + 1), 6)", "ln(s.income + 1)")
     return (
-        f"{exact}, trn AS (SELECT * FROM mrw WHERE split = 'train'), vld AS (SELECT * FROM mrw WHERE split = 'validation'), "
-        f"prp AS ({' UNION ALL '.join(parts)}) SELECT {key}, feature, round(value, 6) AS value FROM prp"
+        f"trn AS (SELECT * FROM mrw WHERE split = 'train'), vld AS (SELECT * FROM mrw WHERE split = 'validation'), "
+        f"prp AS MATERIALIZED ({' UNION ALL '.join(parts)})"
     )
 
 
-@query("preprocess", _feature_answer())
+EXACT = ROWS.replace("round(ln(s.income + 1), 6)", "ln(s.income + 1)")
+
+
+@query(
+    "preprocess",
+    f"{EXACT}, {_prepared('vld')} SELECT customer_id, feature_month, feature, round(value, 6) AS value FROM prp",
+)
 def preprocess(spark, sf):
     train, validation, _ = stored_splits(spark, sf)
     stages, names = model.fit_preprocess(train, COLUMNS)
@@ -204,35 +209,61 @@ def _scores(rows):
     return rows.select("customer_id", "feature_month", "label", "score")
 
 
-#: A model of one flag, whose fit SQL can repeat: rows and positives of both flag values are all that it sees.
-FEW = model.FeatureColumns(flags=(PAYROLL,), numeric=(), binary=(), categorical=())
-FITTED = ROWS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", fcl AS (
-    SELECT count(*)::DOUBLE AS n, sum(label)::DOUBLE AS p, (count(*) FILTER (WHERE {PAYROLL} = 1))::DOUBLE AS n1,
-      (sum(label) FILTER (WHERE {PAYROLL} = 1))::DOUBLE AS p1 FROM mrw WHERE split = 'train'),
-  fwt AS (SELECT n, n / (2 * p) * p1 AS y1, n / (2 * p) * (p - p1) AS y0,
-      n / (2 * p) * p1 + n / (2 * (n - p)) * (n1 - p1) AS w1, n / (2 * p) * (p - p1) + n / (2 * (n - p)) * (n - n1 - p + p1) AS w0 FROM fcl),
+#: The fit in SQL on every column. The curvature of the log-loss is never above a quarter of the weighted outer products,
+#: so steps by the inverse of that bound (one elimination, a column at a time) descend to the same optimum.
+STEPS = 150
+FITTED = EXACT.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_prepared("mrw")},
+  fno AS MATERIALIZED (SELECT feature, row_number() OVER (ORDER BY feature) AS i, count(*) OVER () + 1 AS d FROM (SELECT DISTINCT feature FROM prp)),
+  fln AS MATERIALIZED (SELECT customer_id, feature_month, i, value FROM prp JOIN fno USING (feature)
+    UNION ALL SELECT customer_id, feature_month, (SELECT max(d) FROM fno), 1 FROM mrw),
+  vec AS MATERIALIZED (SELECT customer_id, feature_month, x, label, split, label_month, count(*) FILTER (WHERE split = 'train') OVER () AS n,
+      sum(label) FILTER (WHERE split = 'train') OVER () AS p
+    FROM (SELECT customer_id, feature_month, list(value ORDER BY i) AS x FROM fln GROUP BY 1, 2) JOIN mrw USING (customer_id, feature_month)),
+  trv AS MATERIALIZED (SELECT customer_id, feature_month, x, label, CASE WHEN label = 1 THEN n / (2 * p) ELSE n / (2 * (n - p)) END AS w
+    FROM vec WHERE split = 'train'),
+  grm AS (SELECT a.i, b.i AS j, sum(w * a.value * b.value) / 4 + CASE WHEN a.i = b.i AND a.i < (SELECT max(d) FROM fno) THEN 1 ELSE 0 END AS v
+    FROM fln a JOIN fln b USING (customer_id, feature_month) JOIN trv USING (customer_id, feature_month) GROUP BY 1, 2),
+  elm AS (
+    SELECT 1::BIGINT AS k, list(r ORDER BY i) AS m FROM (
+      SELECT i, list(v ORDER BY j) || [CASE WHEN u = i THEN 1::DOUBLE ELSE 0::DOUBLE END FOR u IN range(1, (SELECT max(d) FROM fno) + 1)] AS r
+      FROM grm GROUP BY i)
+    UNION ALL
+    SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda e: e / m[k][k])
+      ELSE list_transform(r, lambda e, j: e - r[k] * m[k][j] / m[k][k]) END) FROM elm WHERE k <= len(m)),
+  inv AS MATERIALIZED (SELECT i, j, m[i][len(m) + j] AS v FROM (SELECT m, unnest(range(1, len(m) + 1)) AS i FROM elm WHERE k = len(m) + 1),
+    (SELECT i AS j FROM fno UNION ALL SELECT max(d) FROM fno)),
+  dsc AS (
+    SELECT 0 AS step, [0::DOUBLE FOR u IN range((SELECT max(d) FROM fno))] AS b
+    UNION ALL
+    SELECT step + 1, list(nb ORDER BY j) FROM (
+      SELECT step, j, any_value(b[j]) - sum(v * g) AS nb FROM (
+        SELECT step, i, any_value(b) AS b, sum(r * x[i]) + any_value(CASE WHEN i < len(b) THEN b[i] ELSE 0 END) AS g FROM (
+          SELECT step, b, x, r, unnest(range(1, len(x) + 1)) AS i FROM (
+            SELECT step, b, x, w * (1 / (1 + exp(-list_inner_product(b, x))) - label) AS r FROM dsc, trv WHERE step < {STEPS}))
+        GROUP BY step, i) JOIN inv USING (i) GROUP BY step, j)
+    GROUP BY step),
+  cof AS MATERIALIZED (SELECT b FROM dsc WHERE step = {STEPS}),
+  scd AS MATERIALIZED (SELECT customer_id, feature_month, label, split, label_month, list_inner_product(b, x) AS s FROM vec, cof)"""
+#: Sigmoid calibration of the log-odds s on the validation rows: two coefficients, by Newton's method.
+CALIBRATED = FITTED + """,
+  tgt AS MATERIALIZED (SELECT s, CASE WHEN label = 1 THEN (tp + 1) / (tp + 2) ELSE 1 / (tn + 2) END AS y
+    FROM scd, (SELECT sum(label) AS tp, sum(1 - label) AS tn FROM scd WHERE split = 'validation') WHERE split = 'validation'),
   nwt AS (
-    SELECT 0 AS step, 0::DOUBLE AS a, 0::DOUBLE AS b
+    SELECT 0 AS step, 0::DOUBLE AS a, 0::DOUBLE AS c
     UNION ALL
-    SELECT step + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
-      SELECT step, a, b, w0 * m0 - y0 + w1 * m1 - y1 AS ga, w1 * m1 - y1 + b AS gb, w0 * m0 * (1 - m0) + w1 * m1 * (1 - m1) AS haa,
-        w1 * m1 * (1 - m1) AS hab, w1 * m1 * (1 - m1) + 1 AS hbb
-      FROM (SELECT *, 1 / (1 + exp(-a)) AS m0, 1 / (1 + exp(-a - b)) AS m1 FROM nwt, fwt) WHERE step < 30)),
-  cof AS (SELECT a, b FROM nwt WHERE step = 30)"""
-SCORED = "1 / (1 + exp(-a - b * " + PAYROLL + "))"
-#: Sigmoid calibration of two score levels meets the smoothed rate of each level exactly.
-CALIBRATED = FITTED + f""", ccl AS (SELECT {PAYROLL} AS x, count(*) AS n, sum(label) AS p FROM mrw WHERE split = 'validation' GROUP BY 1),
-  cal AS (SELECT x, (p * (tp + 1) / (tp + 2) + (n - p) / (tn + 2)) / n AS q FROM ccl, (SELECT sum(p) AS tp, sum(n - p) AS tn FROM ccl))"""
+    SELECT step + 1, a - (hcc * ga - hac * gc) / (haa * hcc - hac * hac), c - (haa * gc - hac * ga) / (haa * hcc - hac * hac) FROM (
+      SELECT step, a, c, sum(m - y) AS ga, sum((m - y) * s) AS gc, sum(m * (1 - m)) AS haa, sum(m * (1 - m) * s) AS hac, sum(m * (1 - m) * s * s) AS hcc
+      FROM (SELECT step, a, c, s, y, 1 / (1 + exp(-a - c * s)) AS m FROM nwt, tgt WHERE step < 30) GROUP BY step, a, c)),
+  cal AS MATERIALIZED (SELECT d.*, 1 / (1 + exp(-d.s)) AS raw, 1 / (1 + exp(-a - c * d.s)) AS q FROM scd d, nwt WHERE step = 30)"""
 
 
 @query(
     "logistic",
-    f"""{FITTED} SELECT customer_id, feature_month, label, round({SCORED}, 3) AS score FROM mrw, cof WHERE split = 'validation'""",
+    f"""{FITTED} SELECT customer_id, feature_month, label, round(1 / (1 + exp(-s)), 6) AS score FROM scd WHERE split = 'validation'""",
 )
 def logistic(spark, sf):
-    """Scores of the model of one flag; the full model is compared with Newton's method in the tests."""
     train, validation, _ = stored_splits(spark, sf)
-    return rounded(_scores(model.fit_logistic(train, FEW).raw_scores(validation)), 3)
+    return rounded(_scores(model.fit_logistic(train, COLUMNS).raw_scores(validation)))
 
 
 @query(
@@ -249,17 +280,58 @@ def boosted_trees(spark, sf):
     ).withColumn("above_base_rate", above)
 
 
+STUMPS = 3
+
+
+def _stumps_answer(rounds: int, rate: float = 0.3, penalty: float = 1.0) -> str:
+    """Round by round: sums of both derivatives per feature and value, both sides of each split, the best one."""
+    steps = [
+        """cnt AS (SELECT sum(1 - label)::DOUBLE / sum(label) AS pw FROM trn)""",
+        """m0 AS MATERIALIZED (SELECT customer_id, feature_month, label, split, CASE WHEN label = 1 THEN pw ELSE 1 END AS w, 0::DOUBLE AS s FROM mrw, cnt)""",
+    ]
+    for at in range(rounds):
+        steps.append(
+            f"""lv{at} AS (SELECT feature, value, sum((w * (q - label))::DECIMAL(38, 12)) AS g, sum((w * q * (1 - q))::DECIMAL(38, 12)) AS h
+            FROM (SELECT *, 1 / (1 + exp(-s)) AS q FROM m{at} WHERE split = 'train') JOIN prp USING (customer_id, feature_month) GROUP BY 1, 2)"""
+        )
+        steps.append(
+            f"""ct{at} AS (SELECT feature, value, sum(g) OVER r AS gl, sum(h) OVER r AS hl, sum(g) OVER a AS ga, sum(h) OVER a AS ha,
+            lead(value) OVER o AS later FROM lv{at} WINDOW r AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING),
+            a AS (PARTITION BY feature), o AS (PARTITION BY feature ORDER BY value))"""
+        )
+        low, high, whole = (
+            (f"({g})::DOUBLE", f"(({h})::DOUBLE + {penalty})") for g, h in (("gl", "hl"), ("ga - gl", "ha - hl"), ("ga", "ha"))
+        )
+        gain = f"{low[0]} * {low[0]} / {low[1]} + {high[0]} * {high[0]} / {high[1]} - {whole[0]} * {whole[0]} / {whole[1]}"
+        steps.append(
+            f"""sp{at} AS MATERIALIZED (SELECT feature, value AS cut, -{low[0]} / {low[1]} AS vl, -{high[0]} / {high[1]} AS vh
+            FROM ct{at} WHERE later IS NOT NULL ORDER BY {gain} DESC, feature, value LIMIT 1)"""
+        )
+        steps.append(
+            f"""m{at + 1} AS MATERIALIZED (SELECT m.* REPLACE (m.s + {rate} * CASE WHEN p.value <= cut THEN vl ELSE vh END AS s)
+            FROM m{at} m JOIN prp p USING (customer_id, feature_month) JOIN sp{at} USING (feature))"""
+        )
+    return f"""{EXACT}, {_prepared("mrw")}, {', '.join(steps)}
+        SELECT customer_id, feature_month, label, round(1 / (1 + exp(-s)), 6) AS score FROM m{rounds} WHERE split = 'validation'"""
+
+
+@query("boosted_stumps", _stumps_answer(STUMPS))
+def boosted_stumps(spark, sf):
+    """Scores of a few boosted stumps, searched over every value of every model column."""
+    train, validation, _ = stored_splits(spark, sf)
+    return rounded(_scores(model.fit_boosted_stumps(train, COLUMNS, rounds=STUMPS).raw_scores(validation)))
+
+
 @query(
     "calibrate",
-    f"""{CALIBRATED}, prs AS (SELECT label, {SCORED} AS s, q FROM mrw, cof JOIN cal ON true WHERE split = 'validation' AND x = {PAYROLL})
-      SELECT 'before' AS scores, round(avg((s - label) * (s - label)), 4) AS brier FROM prs
-      UNION ALL SELECT 'after', round(avg((q - label) * (q - label)), 4) FROM prs""",
+    f"""{CALIBRATED} SELECT 'before' AS scores, round(avg((raw - label) * (raw - label)), 6) AS brier FROM cal WHERE split = 'validation'
+      UNION ALL SELECT 'after', round(avg((q - label) * (q - label)), 6) FROM cal WHERE split = 'validation'""",
 )
 def calibrate(spark, sf):
     train, validation, _ = stored_splits(spark, sf)
-    fitted = model.fit_logistic(train, FEW)
+    fitted = model.fit_logistic(train, COLUMNS)
     calibrated = model.fit_calibration(fitted, validation)
-    return rounded(model.calibration_gain(fitted.raw_scores(validation), calibrated.raw_scores(validation)), 4)
+    return rounded(model.calibration_gain(fitted.raw_scores(validation), calibrated.raw_scores(validation)))
 
 
 @query("score_batch", f"{ROWS} SELECT count(*) AS rows, 0::BIGINT AS differing FROM mrw WHERE split = 'test'")
@@ -278,10 +350,14 @@ def score_batch(spark, sf):
     )
 
 
-@query("odds_ratios", f"{FITTED} SELECT '{PAYROLL}' AS feature, round(b, 3) AS log_odds, round(exp(b), 3) AS odds_ratio FROM cof")
+@query(
+    "odds_ratios",
+    f"""{FITTED} SELECT feature, round(b[i], 6) AS log_odds, round(exp(b[i]), 6) AS odds_ratio FROM fno, cof
+      ORDER BY abs(b[i]) DESC, feature LIMIT 15""",
+)
 def odds_ratios(spark, sf):
     train, _, _ = stored_splits(spark, sf)
-    return rounded(model.odds_ratios(model.fit_logistic(train, FEW)), 3)
+    return rounded(model.odds_ratios(model.fit_logistic(train, COLUMNS)))
 
 
 #: A fixed score of every model column, in whole numbers, so that only the shuffling and the metrics are checked.
@@ -350,7 +426,7 @@ def score_reproducible(spark, sf):
     train, validation, _ = stored_splits(spark, sf)
     keys = ["customer_id", "feature_month"]
     one, other, control = (
-        model.fit_logistic(train, FEW, inverse_penalty=penalty).raw_scores(validation).select(*keys, F.col("score").alias(name))
+        model.fit_logistic(train, COLUMNS, inverse_penalty=penalty).raw_scores(validation).select(*keys, F.col("score").alias(name))
         for name, penalty in (("one", 1.0), ("other", 1.0), ("control", 0.01))
     )
     joined = one.join(other, keys).join(control, keys)
@@ -366,7 +442,7 @@ REPORTED = ("rows", "positives", "base_rate", "roc_auc", "pr_auc", "brier")
 
 @query(
     "test_report",
-    f"""{CALIBRATED}, sc AS (SELECT label, label_month, q AS score, customer_id AS tie FROM mrw JOIN cal ON x = {PAYROLL} WHERE split = 'test'),
+    f"""{CALIBRATED}, sc AS (SELECT label, label_month, q AS score, customer_id AS tie FROM cal WHERE split = 'test'),
       {level_sql('label_month', '1')}
       SELECT g AS label_month, rows, positives, round(base_rate, 4) AS base_rate,
         {", ".join(f"round(CASE WHEN positives > 0 AND positives < rows THEN {name} END, 4) AS {name}" for name in REPORTED[3:])} FROM met""",
@@ -374,6 +450,6 @@ REPORTED = ("rows", "positives", "base_rate", "roc_auc", "pr_auc", "brier")
 def test_report(spark, sf):
     """Calibrated scores of the test rows, per label period."""
     train, validation, test = stored_splits(spark, sf)
-    calibrated = model.fit_calibration(model.fit_logistic(train, FEW), validation)
+    calibrated = model.fit_calibration(model.fit_logistic(train, COLUMNS), validation)
     scored = calibrated.raw_scores(test).withColumn("tie", F.col("customer_id"))
     return rounded(evaluation.point_metrics(scored, groups=["label_month"]).select("label_month", *REPORTED), 4)

@@ -24,6 +24,7 @@ from panelmill.operators.newton import newton_logistic
 from panelmill.operators.order_index import order_index
 from panelmill.operators.ranking import running_totals
 from panelmill.operators.shuffling import shuffled_place
+from panelmill.operators.stumps import boosted_stumps
 from panelmill.session import cut_lineage
 
 OTHER = "other"
@@ -268,6 +269,26 @@ def fit_boosted_trees(
     return FittedModel("boosted_trees", PipelineModel([*stages, model]), names)
 
 
+def fit_boosted_stumps(
+    train: DataFrame, columns: FeatureColumns, top: int = 10, rounds: int = 100, learning_rate: float = 0.3, penalty: float = 1.0
+) -> FittedModel:
+    """Boosted trees of one split with the positives weighted by negatives / positives, by second-order gains.
+
+    The fitted pipeline is plain SQL, as that of the logistic regression. Stores the prepared training rows."""
+    counts = _both_classes(train, "training")
+    stages, names = fit_preprocess(train, columns, top)
+    weight = F.when(F.col("label") == 1, counts["positive_weight"]).otherwise(1.0)
+    prepared = PipelineModel(stages).transform(train)
+    rows = cut_lineage(
+        prepared.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"), weight.alias("w"))
+    )
+    found = boosted_stumps(rows, names, rounds, learning_rate, penalty)
+    inputs = [f"_x{place}" for place in range(len(names))]
+    margin = " + ".join(["0D", *[stump.sql(inputs[stump.place]) for stump in found]])
+    odds = SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(inputs)}), {margin} AS _margin FROM __THIS__")
+    return FittedModel("boosted_stumps", PipelineModel([stages[0], odds, _sigmoid_stage("_margin", 1.0, 0.0)]), names)
+
+
 def rule_score(payroll_flag: str, min_products: int = 3) -> Column:
     """1 for an active holder of the payroll product with enough products, else 0."""
     rule = (F.col("is_active") == 1) & (F.col(payroll_flag) == 1) & (F.col("n_products") >= min_products)
@@ -335,8 +356,8 @@ def fit_calibration(model: FittedModel, validation: DataFrame) -> FittedModel:
     low = 1.0 / (counts["negatives"] + 2.0)
     target = F.when(F.col("label") == 1, high).otherwise(low)
     name, names = f"{model.name}_calibrated", model.feature_names
-    if model.coefficients is not None:
-        # A linear model is calibrated on its log-odds, which its last stage turns into the score.
+    if isinstance(model.pipeline.stages[-1], SQLTransformer):
+        # These models are calibrated on their log-odds, which their last stage turns into the score.
         before = PipelineModel(model.pipeline.stages[:-1])
         rows = before.transform(validation).select(F.array("_margin").alias("x"), target.alias("y"), F.lit(1.0).alias("w"))
         (slope,), intercept = newton_logistic(cut_lineage(rows), 1)

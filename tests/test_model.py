@@ -205,3 +205,47 @@ def test_rule_and_weights(spark, train):
     assert counts["positive_weight"] == pytest.approx(counts["negatives"] / counts["positives"])
     with pytest.raises(ValueError, match="one class"):
         model.fit_logistic(train.filter("label = 0"), COLUMNS)
+
+
+def brute_stumps(x, y, w, names, rounds, rate, penalty):
+    """Every column, every value, no running sums."""
+    margin, found = np.zeros(len(y)), []
+    for _ in range(rounds):
+        chance = 1 / (1 + np.exp(-margin))
+        g, h = w * (chance - y), w * chance * (1 - chance)
+        best = None
+        for place, name in enumerate(names):
+            for cut in sorted(set(x[:, place]))[:-1]:
+                left = x[:, place] <= cut
+                sides = [(g[m].sum(), h[m].sum()) for m in (left, ~left, left | ~left)]
+                low, high, whole = (a * a / (b + penalty) for a, b in sides)
+                key = (-round(low + high - whole, 9), name, cut)
+                if best is None or key < best[0]:
+                    best = (key, place, cut, *(-rate * a / (b + penalty) for a, b in sides[:2]))
+        if best is None:
+            break
+        found.append(best[1:])
+        margin = margin + np.where(x[:, best[1]] <= best[2], best[3], best[4])
+    return found
+
+
+def test_stumps_against_brute_force(spark, train, validation):
+    from panelmill.operators.stumps import boosted_stumps
+
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 4, 300), rng.integers(0, 2, 300), rng.normal(size=300).round(1)]).astype(float)
+    x = np.column_stack([x, 1 - x[:, 1], np.full(300, 7.0)])  # a mirrored column ties, a constant one has no split
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x[:, 0] - 1.5 + x[:, 1])))).astype(float)
+    w = np.where(y == 1, 2.0, 1.0)
+    names = ["b", "d", "a", "c", "e"]
+    df = spark.createDataFrame([(x[i].tolist(), float(y[i]), float(w[i])) for i in range(300)], "x array<double>, y double, w double")
+    found = boosted_stumps(df, names, 4, 0.3, 1.0)
+    for stump, expected in zip(found, brute_stumps(x, y, w, names, 4, 0.3, 1.0), strict=True):
+        assert (stump.place, stump.threshold) == expected[:2] and (stump.low, stump.high) == pytest.approx(expected[2:])
+    assert boosted_stumps(df.select(F.array(F.lit(1.0)).alias("x"), "y", "w"), ["one"], 3, 0.3, 1.0) == []
+    assert boosted_stumps(df.limit(0), names, 3, 0.3, 1.0) == []
+
+    fitted = model.fit_boosted_stumps(train, COLUMNS, rounds=4)
+    after = model.fit_calibration(fitted, validation).raw_scores(validation)
+    metrics = evaluation.score_metrics(after.select("label", "score")).first()
+    assert metrics["roc_auc"] > 0.7 and after.columns == [*validation.columns, "score"]
