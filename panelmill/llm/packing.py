@@ -208,7 +208,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, slic
     """Add sequence_id and offset to the rows of `pieces`, which must have a `length` from 1 to `capacity`.
 
     Repeated rows are pieces of their own; an empty table gives an empty result. Every other column passes through
-    and takes part in the order of the ranks. The broadcast plan has at most a few rows for each distinct length
+    and takes part in the order of the ranks; columns named sequence_id or offset are replaced. The broadcast plan has at most a few rows for each distinct length
     and round, so its size is bounded by `capacity` and `rounds`.
     """
     columns = pieces.columns
@@ -251,4 +251,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, slic
             )
 
     kinds = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in pieces.schema)
-    return ranked.mapInArrow(placed, f"{kinds}, sequence_id long, offset long").toDF(*columns, "sequence_id", "offset")
+    found = ranked.mapInArrow(placed, f"{kinds}, sequence_id long, offset long")
+    kept = [name for name in columns if name not in ("sequence_id", "offset")]
+    return found.select(*[named[name] for name in kept], "sequence_id", "offset").toDF(*kept, "sequence_id", "offset")

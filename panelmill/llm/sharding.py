@@ -83,12 +83,15 @@ def shard_rows(
 
     `dimensions` are non-negative numbers of each row with their emphasis, `group` names the columns that rows placed together share
     (their nulls are equal); a group of more than a quarter of a shard, in rows or a dimension, is parted. Repeated rows
-    stay apart, null keys are allowed, an empty table gives an empty result.
+    stay apart and are parted like any others, null keys are allowed, an empty table gives an empty result. Columns of
+    the input named shard or slot are replaced.
     """
     columns = rows.columns
-    rows, at = positional(stored(rows, "shard-rows"))
-    key, group, sizes_of = at[key], [at[name] for name in group], [at[name] for name in dimensions]
+    rows, at = positional(rows)
     names = rows.columns
+    # stored with the rows, so that equal rows have numbers of their own and keep them
+    rows = stored(rows.withColumn("_number", F.monotonically_increasing_id()), "shard-rows")
+    key, group, sizes_of = at[key], [at[name] for name in group], [at[name] for name in dimensions]
     totals = rows.agg(F.count(F.lit(1)), *[F.sum(name) for name in sizes_of]).first()
     slices = max(1, -(-totals[0] // slice_rows))
     emphasis = list(dimensions.values())
@@ -108,7 +111,7 @@ def shard_rows(
     n_large = large.count()
     side = F.broadcast(large) if n_large <= BROADCAST_GROUPS else large
     salted = rows.join(side, F.struct(*group).eqNullSafe(F.col("_large")), "left").select(
-        *names, F.pmod(F.xxhash64(*names), F.col("_parts")).alias("_part")
+        *names, "_number", F.pmod(F.xxhash64("_number"), F.col("_parts")).alias("_part")
     )
     load, whole = np.zeros((shards, len(sizes_of))), np.array([float(total or 0) for total in totals[1:]])
     if n_large:
@@ -133,16 +136,16 @@ def shard_rows(
             load, found = load + _load(rest, items, sizes_of, shards), found.unionByName(rest)
         given = found.withColumnRenamed("shard", "_given").join(items.select("_item", "_whole"), "_item").select("_whole", "_given")
         side = F.broadcast(given) if n_large <= BROADCAST_GROUPS else given
-        salted = salted.join(side, F.struct(*group, "_part").eqNullSafe(F.col("_whole")), "left").select(*names, "_given")
+        salted = salted.join(side, F.struct(*group, "_part").eqNullSafe(F.col("_whole")), "left").select(*names, "_number", "_given")
     else:
-        salted = salted.select(*names, F.lit(None).cast("int").alias("_given"))
+        salted = salted.select(*names, "_number", F.lit(None).cast("int").alias("_given"))
     capacity = _capacity(whole, load)
     # rows whose shard is given are dealt singly, only to be counted
     dealt = salted.select(
         *names, F.coalesce("_given", F.lit(-1)).alias("_given"),
-        F.pmod(F.when(F.col("_given").isNull(), F.xxhash64(*group)).otherwise(F.xxhash64(*names)), F.lit(slices)).cast("int").alias("_slice"),
+        F.pmod(F.when(F.col("_given").isNull(), F.xxhash64(*group)).otherwise(F.xxhash64("_number")), F.lit(slices)).cast("int").alias("_slice"),
     )
-    kinds = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in rows.schema)
+    kinds = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in rows.select(*names).schema)
 
     def placed(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values([*group, key], kind="stable", ignore_index=True)
@@ -163,9 +166,10 @@ def shard_rows(
     offsets = local.groupBy("shard", "_slice").agg(F.count(F.lit(1)).alias("_n")).select(
         "shard", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
+    kept = [name for name in columns if name not in ("shard", "slot")]
     return local.join(offsets, ["shard", "_slice"]).select(
-        *names, "shard", (F.col("_before") + F.col("_local")).alias("slot")
-    ).toDF(*columns, "shard", "slot")
+        *[at[name] for name in kept], "shard", (F.col("_before") + F.col("_local")).alias("slot")
+    ).toDF(*kept, "shard", "slot")
 
 
 def document_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -34,3 +34,19 @@ def test_groups_below_a_quarter_of_a_shard_stay_whole(documents, monkeypatch, sl
         assert sorted(r["slot"] for r in found if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in found)))
     level = {name: max(sum(r[name] for r in found if r["shard"] == s) for s in range(16)) * 16 / totals[name] for name in DIMS}
     assert level["size"] < 1.02 and level["tokens"] < 1.05 and level["rows"] < 1.3
+
+
+def test_equal_rows_are_parted(spark, documents):
+    """A third of the table is one row, id included: every shard takes its share of it."""
+    chance = random.Random(4)
+    texts = [" ".join("x" * chance.randint(1, 9) for _ in range(30)) for _ in range(2000)]
+    docs = documents(texts + ["the very same row " * 10] * 1000, ids=[*range(2000), *[7] * 1000])
+    sizes = sharding.document_sizes(docs).selectExpr("*", "1 AS shard", "2 AS slot")
+    found = sharding.shard_rows(sizes, "doc_id", GROUP, DIMS)
+    assert found.columns == [*sizes.columns[:-2], "shard", "slot"]
+    rows = found.collect()
+    assert len(rows) == 3000
+    loads = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(16)]
+    assert max(loads) * 16 < 1.02 * sum(loads) and min(loads) * 16 > 0.98 * sum(loads)
+    for shard in range(16):
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))

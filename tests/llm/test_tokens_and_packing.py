@@ -114,3 +114,6 @@ def test_packing_nothing_and_clashing_names(spark, documents):
     assert packing.pack(packing.tokenised_pieces(documents(["a"]).limit(0), path)).count() == 0
     pieces = spark.createDataFrame([(5, 1, 2, 3), (5, 1, 2, 3)], "length long, _rank int, _slice int, c0 int")
     assert rows_of(packing.pack(pieces, 16), "_rank", "_slice", "c0", "offset") == [(1, 2, 3, 0), (1, 2, 3, 5)]
+    named = spark.createDataFrame([(5, 1, 2)], "length long, offset int, sequence_id string")
+    assert packing.pack(named, 16).columns == ["length", "sequence_id", "offset"]
+    assert rows_of(packing.pack(named, 16), "length", "offset") == [(5, 0)]
