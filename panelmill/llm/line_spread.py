@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from panelmill.llm.storage import positional, stored
 
 MIN_SITES = 10
-MOST_REMOVED = 0.5
 _SKETCH_BITS = 12
 #: boilerplate lines (two longs each) up to this many are broadcast, more are joined by a shuffle
 BROADCAST_LINES = 500_000
@@ -47,18 +46,15 @@ def _one_site_for_copies(docs: DataFrame, text: str, site: str) -> DataFrame:
 
 
 def boilerplate_lines(
-    docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", count_copies: bool = False
+    docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source"
 ) -> DataFrame:
     """The two hashes of each line that occurs on at least `min_sites` distinct sites.
 
-    Texts with the same set of lines count on one site only, unless `count_copies`. Empty lines are no lines; a null
+    Texts with the same set of lines count on one site only. Empty lines are no lines; a null
     site is no site; null texts have no lines.
     """
-    sites = docs.select(F.col(site).cast("string").alias("_site"), F.col(text).alias("_text"))
-    if not count_copies:
-        sites = _one_site_for_copies(docs, text, site)
     lines = (
-        sites.select("_site", F.explode(_lines("_text")).alias("_line"))
+        _one_site_for_copies(docs, text, site).select("_site", F.explode(_lines("_text")).alias("_line"))
         .where((F.col("_line") != "") & F.col("_site").isNotNull())
         .select("_site", *_hashes(F.col("_line")))
     )
@@ -84,7 +80,6 @@ def boilerplate_lines(
 def remove_boilerplate(
     docs: DataFrame,
     min_sites: int = MIN_SITES,
-    most_removed: float | None = None,
     key: str = "doc_id",
     text: str = "text",
     site: str = "source",
@@ -92,17 +87,15 @@ def remove_boilerplate(
 ) -> DataFrame:
     """`docs` with boilerplate lines cut from `text`; with `report` also n_lines (not empty) and n_removed.
 
-    Copies count once (see `boilerplate_lines`), and only a text of which nothing would be left keeps all of it. With
-    `most_removed` copies count on all their sites instead, and a text of which more than that share (in characters of
-    its lines) would go keeps all of it, boilerplate included; the answer of op4 is defined so. Null texts stay
-    null with 0 lines, texts without boilerplate stay as they are, repeated rows are treated alike, null keys are
-    allowed, an empty table gives an empty result. Every other column passes through, but for
-    two that are named as the counts if these are asked for.
+    Copies count once (see `boilerplate_lines`), and only a text of which nothing would be left keeps all of it. Null texts
+    stay null with 0 lines, texts without boilerplate stay as they are, very long texts are cut like others (a text is one
+    row and must fit into a task), repeated rows are treated alike, null keys are allowed, an empty table gives an empty
+    result. Every other column passes through, but for two that are named as the counts if these are asked for.
     """
     columns = docs.columns
     docs, at = positional(docs)
     key, text, site = at[key], at[text], at[site]
-    marked = stored(boilerplate_lines(docs, min_sites, text, site, most_removed is not None), "boilerplate-lines")
+    marked = stored(boilerplate_lines(docs, min_sites, text, site), "boilerplate-lines")
     marked_side = F.broadcast(marked) if marked.count() <= BROADCAST_LINES else marked
     row_hash = F.xxhash64(F.col(key), F.col(text))
     hits = (
@@ -120,7 +113,7 @@ def remove_boilerplate(
     kept = F.filter(lines, lambda line, place: ~F.array_contains(cut, place))
     size = F.length(F.array_join(lines, ""))
     lost = size - F.length(F.array_join(kept, ""))
-    applies = (F.size(cut) > 0) & (lost < size if most_removed is None else lost <= size * most_removed)
+    applies = (F.size(cut) > 0) & (lost < size)
     counts = {
         "n_lines": F.coalesce(F.size(F.filter(lines, lambda line: line != "")), F.lit(0)).cast("long"),
         "n_removed": F.when(applies, F.size(cut)).otherwise(0).cast("long"),

@@ -84,24 +84,27 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
     WITH parts AS (
         SELECT rowid AS r, doc_id, text, source, string_split(text, chr(10)) AS parts FROM {NUMBERED}
+    ), sets AS (
+        SELECT list_sort(list_distinct([line FOR line IN parts IF line <> ''])) AS held, min(source) AS site FROM parts
+        WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY held
     ), lines AS (
-        SELECT r, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM parts
+        SELECT r, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM parts
     ), spread AS (
-        SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10
+        SELECT line FROM (SELECT site, unnest(held) AS line FROM sets) GROUP BY line HAVING count(DISTINCT site) >= 10
     ), judged AS (
         SELECT r, count(s.line) AS n, sum(length(l.line)) FILTER (WHERE s.line IS NOT NULL) AS lost, sum(length(l.line)) AS size,
             count(*) FILTER (WHERE l.line <> '') AS n_lines,
             string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE s.line IS NULL) AS kept
         FROM lines l LEFT JOIN spread s ON s.line = l.line GROUP BY r
     )
-    SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN n > 0 AND lost <= 0.5 * size THEN n ELSE 0 END AS n_removed,
-        sha256(CASE WHEN n > 0 AND lost <= 0.5 * size THEN coalesce(kept, '') ELSE coalesce(text, '') END) AS text_sha256
+    SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN n > 0 AND lost < size THEN n ELSE 0 END AS n_removed,
+        sha256(CASE WHEN n > 0 AND lost < size THEN coalesce(kept, '') ELSE coalesce(text, '') END) AS text_sha256
     FROM parts LEFT JOIN judged USING (r)
     """,
 )
 def line_spread_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites are the documents' sources. The SQL spares texts that would lose more than half, so the query does."""
-    cleaned = line_spread.remove_boilerplate(table(spark, sf_dir, "documents"), most_removed=line_spread.MOST_REMOVED, report=True)
+    """Sites are the documents' sources; the rule is the pipeline's."""
+    cleaned = line_spread.remove_boilerplate(table(spark, sf_dir, "documents"), report=True)
     text = F.coalesce(F.col("text"), F.lit(""))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(text.cast("binary"), 256).alias("text_sha256"))
 

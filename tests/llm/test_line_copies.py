@@ -20,4 +20,3 @@ def test_copies_count_on_one_site_only(documents):
     docs = documents(texts, sources=[f"s{k}" for k in range(14)])
     assert line_spread.boilerplate_lines(docs, min_sites=11).count() == 0
     assert line_spread.boilerplate_lines(docs, min_sites=10).count() == 1
-    assert line_spread.boilerplate_lines(docs, min_sites=14, count_copies=True).count() == 1
