@@ -27,14 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.llm.components import connected
-from panelmill.llm.storage import positional, stored
+from panelmill.llm.storage import positional, stored, tidy
 
 WORDS = 5
 SIMILARITY = (80, 100)
 #: shingles known by count to every task, and the least count that makes one of them
 KNOWN_SHINGLES, KNOWN_FROM = 1 << 20, 16
 #: shingles counted in one task, about, and texts whose shingles are counted before the shuffle
-_COUNTED_TOGETHER, _COUNTED_ROWS = 4_000_000, 2_500
+_COUNTED_TOGETHER, _COUNTED_ROWS = 2_000_000, 2_500
+#: texts whose prefixes are sent to Spark together
+_DESCRIBED_ROWS = 1_000
 #: rows of a (key, id) pair up to which a side is broadcast
 BROADCAST_ROWS = 500_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -97,7 +99,7 @@ def common_shingles(texts: DataFrame, words: int, known: int = KNOWN_SHINGLES, l
         return pd.DataFrame({"key": keys[kept].astype(np.int64) * buckets + int(part["bucket"].iloc[0]), "docs": sums[kept]})
 
     counted = stored(
-        texts.mapInArrow(count, "bucket int, once binary, more binary, times binary").groupBy("bucket").applyInPandas(total, "key long, docs long"),
+        texts.mapInArrow(tidy(count), "bucket int, once binary, more binary, times binary").groupBy("bucket").applyInPandas(total, "key long, docs long"),
         "shingle-counts",
     )
     # the least count so that at most `known` shingles have it or more
@@ -126,7 +128,7 @@ def _described(texts: DataFrame, words: int, similarity: tuple[int, int]) -> Dat
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
-        for batch in batches:
+        for batch in (batch.slice(at, _DESCRIBED_ROWS) for batch in batches for at in range(0, batch.num_rows, _DESCRIBED_ROWS)):
             sizes, nodes, bunches, prefixes = [], [], [], []
             for raw in batch.column(1):
                 found = shingle_set(raw.as_py() or b"", words)
@@ -153,7 +155,7 @@ def _described(texts: DataFrame, words: int, similarity: tuple[int, int]) -> Dat
             )
 
     kind = texts.schema["_key"].dataType.simpleString()
-    return texts.mapInArrow(describe, f"_key {kind}, _hash long, n long, node long, bunch long, prefix array<long>")
+    return texts.mapInArrow(tidy(describe), f"_key {kind}, _hash long, n long, node long, bunch long, prefix array<long>")
 
 
 def _may_link(n: Column, at: Column, m: Column, by: Column, similarity: tuple[int, int]) -> Column:
@@ -193,7 +195,7 @@ def _verified(pairs: DataFrame, sources: DataFrame, texts: DataFrame, words: int
                 names=["node", "shingles"],
             )
 
-    sets = stored(chosen.mapInArrow(extract, "node long, shingles binary").dropDuplicates(["node"]), "jaccard-sets")
+    sets = stored(chosen.mapInArrow(tidy(extract), "node long, shingles binary").dropDuplicates(["node"]), "jaccard-sets")
     first, second = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "xy")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +207,7 @@ def _verified(pairs: DataFrame, sources: DataFrame, texts: DataFrame, words: int
                 kept.append(common * similarity[1] >= (len(one) + len(other) - common) * similarity[0])
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(kept, pa.bool_())) for i in (0, 1)], names=["u", "v"])
 
-    return pairs.join(first, "x").join(second, "y").select("x", "y", "s_x", "s_y").mapInArrow(verify, "u long, v long")
+    return pairs.join(first, "x").join(second, "y").select("x", "y", "s_x", "s_y").mapInArrow(tidy(verify), "u long, v long")
 
 
 def _ordered(one: Column, other: Column) -> tuple[Column, Column]:

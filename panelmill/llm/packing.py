@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.llm.bpe import word_end
-from panelmill.llm.storage import positional, stored
+from panelmill.llm.storage import positional, stored, tidy
 
 CAPACITY = 4096
 ROUNDS = 100
@@ -65,7 +65,7 @@ def tokenised_pieces(
 
     narrow = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
     kind = narrow.schema[key].dataType.simpleString()
-    return narrow.mapInArrow(cut, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return narrow.mapInArrow(tidy(cut), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def _best_configuration(lengths: np.ndarray, prices: np.ndarray, limits: np.ndarray, capacity: int) -> dict[int, int]:

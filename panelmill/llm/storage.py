@@ -1,7 +1,11 @@
-"""Intermediate tables in the shared folder."""
+"""Intermediate tables in the shared folder, and memory that Python workers give back."""
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from panelmill.session import scratch_path
@@ -19,3 +23,23 @@ def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     then clash with none of the caller's."""
     names = {name: f"c{at}" for at, name in enumerate(df.columns)}
     return df.toDF(*names.values()), names
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(function: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """The same function of batches; when a task ends, what it freed goes back to the system. Workers live from one
+    stage to the next, and would hold on to the peak of each beside the executor's heap."""
+
+    def run(batches: Iterable) -> Iterator:
+        try:
+            yield from function(batches)
+        finally:
+            _give_back()
+
+    return run

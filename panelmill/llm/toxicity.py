@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.llm.decontamination import words_of
-from panelmill.llm.storage import positional
+from panelmill.llm.storage import positional, tidy
 
 BITS = 20
 MAX_ROWS = 16_384
@@ -126,9 +126,9 @@ def fit(
         yield pa.RecordBatch.from_arrays([pa.array(features, pa.int64()), pa.array(weights, pa.float64())], names=["feature", "weight"])
 
     found = (
-        sample.mapInArrow(extract, "_order long, _features binary, _label int")
+        sample.mapInArrow(tidy(extract), "_order long, _features binary, _label int")
         .repartition(1)
-        .mapInArrow(learn, "feature long, weight double")
+        .mapInArrow(tidy(learn), "feature long, weight double")
         .toPandas()
     )
     weighted = found[found["feature"] >= 0].sort_values("feature")
@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "score"])
 
     kinds = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in source.schema)
-    return source.mapInArrow(scored, f"{kinds}, score double").toDF(*columns, to)
+    return source.mapInArrow(tidy(scored), f"{kinds}, score double").toDF(*columns, to)
 
 
 def learnable(labels: DataFrame, key: str = "doc_id") -> DataFrame:
