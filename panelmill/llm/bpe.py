@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import string
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -20,6 +21,7 @@ from panelmill.llm.segments import SAFE_SPACE, balanced
 
 MEMO_UNITS = 300_000
 MEMO_PARTS = 1_000_000
+MEMO_WORDS = 400_000
 SLICE_CHARS = 1 << 20
 _JOIN_CHARS = 1 << 13
 #: ASCII marks that never form one token with a letter before them (an apostrophe and the parts of special strings may)
@@ -35,11 +37,31 @@ def _load(path: str):
     return Tokenizer.from_file(path)
 
 
+def _words_as_bytes():
+    from tokenizers import pre_tokenizers
+
+    return pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+
 #: letters that stay one letter in lower case
 _LATIN = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1)
 _WORD = re.compile("[" + "".join(sorted(_LATIN)) + "]+").fullmatch
 #: text whose lower case is that of its characters one by one, and composed already
 _SIMPLE_CASE = re.compile("[\x00-\u012f\u0131-\u024f]*").fullmatch
+#: text of such characters with plain white space only
+_PLAIN = re.compile("[\t\n\r -\x7e\xa1-\u012f\u0131-\u024f]*").fullmatch
+
+
+def _class_of(kind: str) -> str:
+    """The characters of the plain range, in lower case, whose Unicode category begins with `kind`, for a pattern."""
+    found = {low for c in map(chr, range(0x250)) for low in c.lower() if unicodedata.category(low).startswith(kind)}
+    return re.escape("".join(sorted(found)))
+
+
+#: the words of a plain text in lower case, as the vocabulary parts them
+_WORDS = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d|[{0}]+|[{1}]|[^\\s{0}{1}]+".format(_class_of("L"), _class_of("N"))
+).findall
 
 
 def _core_and_tail(unit: str) -> tuple[str, str]:
@@ -63,9 +85,9 @@ class Memo:
             self._old, self.young = self.young, {}
         new = texts.difference(self.young)
         if self._old:
-            back = new.intersection(self._old)
+            back = [text for text in new if text in self._old]
             self.young.update((text, self._old[text]) for text in back)
-            new -= back
+            new.difference_update(back)
         return new
 
 
@@ -171,7 +193,13 @@ class WordEndIds:
         # these are looked for in the raw text, so lower case must not bring one about
         self._special = [token.content for token in self._tokenizer.get_added_tokens_decoder().values()]
         self._special_begin = {text[0] for text in self._special}
-        self._units, self._parts = Memo(MEMO_UNITS), Memo(MEMO_PARTS)
+        if any("<|" not in text for text in self._special):
+            raise ValueError("special strings without <| are not looked for")
+        # for words that are parted and in lower case already
+        self._words_only = _load(path)
+        self._words_only.normalizer = None
+        self._words_only.pre_tokenizer = _words_as_bytes()
+        self._words, self._units, self._parts = Memo(MEMO_WORDS), Memo(MEMO_UNITS), Memo(MEMO_UNITS)
 
     def _folded(self, core: str) -> str:
         """The core in lower case, if it has the same ids then."""
@@ -182,17 +210,26 @@ class WordEndIds:
             return low
         return core if any(one in low for one in self._special) else low
 
-    def _folded_text(self, text: str) -> str:
-        """The text in lower case, if it has the same ids then: fewer different units are left."""
-        if any(begin in text for begin in self._special_begin) or not _SIMPLE_CASE(text):
-            return text
-        return text.lower()
+    def _plain_words(self, text: str) -> list[str] | None:
+        """The words of a text in which neither special strings nor odd characters need care."""
+        return None if "<|" in text or not _PLAIN(text) else _WORDS(text.lower())
 
-    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def _encode(self, texts: list[str], tokenizer=None) -> Iterator[np.ndarray]:
         for batch in _by_bytes(texts):
-            for encoding in self._tokenizer.encode_batch(batch, add_special_tokens=False):
+            for encoding in (tokenizer or self._tokenizer).encode_batch(batch, add_special_tokens=False):
                 yield np.asarray(encoding.ids, dtype="<u4")
 
+    def _learn_words(self, words: set[str]) -> None:
+        groups = list(_joined(self._words.unknown(words)))
+        known = self._words.young
+        for group, ids in zip(groups, self._encode([" ".join(group) for group in groups], self._words_only)):
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) == len(group):
+                raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+                known.update((word, raw[a:b]) for word, a, b in zip(group, bounds, bounds[1:]))
+            else:
+                known.update(zip(group, (one.tobytes() for one in self._encode(group, self._words_only))))
+
     def _learn(self, units: set[str]) -> None:
         split = []
         for unit in self._units.unknown(units):
@@ -217,16 +254,22 @@ class WordEndIds:
         """The ids of each text as little-endian 32-bit numbers, in order; empty for null and empty texts."""
         done, pending = 0, []
         for held in balanced(texts, SLICE_CHARS):
-            parted = [
-                (row, _SPACE_OR_LINE.split(segment) if _ODD_WHITE.search(segment) else segment.split())
-                for row, segment in ((row, self._folded_text(segment)) for row, _, segment in held)
-            ]
-            self._learn(set().union(*(parts for _, parts in parted)))
-            for row, parts in parted:
+            parted = []
+            for row, _, segment in held:
+                words = self._plain_words(segment)
+                if words is not None:
+                    parted.append((row, True, words))
+                else:
+                    odd = _ODD_WHITE.search(segment)
+                    parted.append((row, False, _SPACE_OR_LINE.split(segment) if odd else segment.split()))
+            self._learn_words(set().union(*(parts for _, plain, parts in parted if plain)))
+            self._learn(set().union(*(parts for _, plain, parts in parted if not plain)))
+            of_plain, of_unit = self._words.young.__getitem__, self._units.young.__getitem__
+            for row, plain, parts in parted:
                 while done < row:
                     yield b"".join(pending)
                     done, pending = done + 1, []
-                pending.append(b"".join(map(self._units.young.__getitem__, parts)))
+                pending.append(b"".join(map(of_plain if plain else of_unit, parts)))
         while done < len(texts):
             yield b"".join(pending)
             done, pending = done + 1, []
