@@ -1,10 +1,10 @@
 """Packing token sequences of bounded length: a configuration program over the length histogram.
 
 Texts are tokenised, longer ones cut, and only the histogram of piece lengths (at most `capacity` bins, whatever
-the corpus holds) comes to the driver. There a fractional covering program over bin configurations is solved by
-multiplicative weights: every length has a weight, the best configuration for the weights is a knapsack solved by
-dynamic programming, and the weights of the lengths it covers fall. The average is rounded down to whole
-sequences; the lengths left over are packed by best fit, whole runs of equal lengths at a time. The plan says for
+the corpus holds) comes to the driver. There a covering program over sequence configurations is solved by
+multiplicative weights: every length has a weight, the best configurations for the weights come from a knapsack solved
+by dynamic programming, and the weights of the lengths they cover fall. Amounts are whole numbers from the start; the
+few lengths left over are packed by best fit, whole runs of equal lengths at a time. The plan says for
 each length which ranks of its pieces go to which sequences; pieces are ranked within their length by a two-level
 count, so neither a common length nor the table ever meets in one task.
 """
@@ -27,9 +27,10 @@ from panelmill.llm.bpe import word_end
 from panelmill.llm.storage import positional, stored, tidy
 
 CAPACITY = 4096
-ROUNDS = 100
-_SHARES = (1.0, 0.75, 0.5, 0.25)
-_FULL = 0.999
+#: rounds of the covering program, how fast weights fall, and what a configuration may be worth less than the best
+ROUNDS, RATE, SLACK = 16, 0.02, 0.002
+#: lengths without a good configuration after which a round ends
+MISSES = 50
 #: pieces ranked together in one task, on average
 SLICE_ROWS = 50_000
 _OUT_ROWS = 2_000
@@ -68,55 +69,77 @@ def tokenised_pieces(
     return narrow.mapInArrow(tidy(cut), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _best_configuration(lengths: np.ndarray, prices: np.ndarray, limits: np.ndarray, capacity: int) -> dict[int, int]:
-    """Unbounded knapsack by dynamic programming; counts beyond what exists of a length are cut off."""
-    value, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
+def _values(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """Unbounded knapsack by dynamic programming: the highest price that each room can hold."""
+    value = np.zeros(capacity + 1)
+    for room in range(int(lengths[0]), capacity + 1):
         fitting = np.searchsorted(lengths, room, side="right")
-        value[room] = value[room - 1]
-        if fitting:
-            offered = value[room - lengths[:fitting]] + prices[:fitting]
-            best = int(offered.argmax())
-            if offered[best] > value[room]:
-                value[room], taken[room] = offered[best], best
+        value[room] = max(value[room - 1], (value[room - lengths[:fitting]] + prices[:fitting]).max())
+    return value
+
+
+def _fill(lengths: np.ndarray, prices: np.ndarray, value: np.ndarray, left: np.ndarray, room: int) -> tuple[Counter[int], float]:
+    """The items that the table of values puts into `room`, the longest of equal ones first, as far as pieces are left."""
     counts: Counter[int] = Counter()
-    room = capacity
-    while room > 0:
-        if taken[room] < 0:
-            room -= 1
-        else:
-            counts[int(taken[room])] += 1
-            room -= int(lengths[taken[room]])
-    return {item: min(count, int(limits[item])) for item, count in counts.items()}
-
-
-def fractional_configurations(
-    histogram: dict[int, int], capacity: int, rounds: int = ROUNDS
-) -> list[tuple[float, dict[int, int]]]:
-    """(sequences, {length: count in each}) that together cover about the whole histogram."""
+    total = 0.0
+    while fitting := int(np.searchsorted(lengths, room, side="right")):
+        offered = np.where(left[:fitting] > 0, value[room - lengths[:fitting]] + prices[:fitting], -1.0)
+        best = offered.max()
+        if best < 0:
+            break
+        item = fitting - 1 - int((offered[::-1] >= best - 1e-9).argmax())
+        counts[item] += 1
+        left[item] -= 1
+        room -= int(lengths[item])
+        total += float(prices[item])
+    return counts, total
+
+
+def covering_configurations(
+    histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE, slack: float = SLACK
+) -> tuple[list[Configuration], dict[int, int]]:
+    """Configurations in whole numbers, and the pieces of each length that they leave over.
+
+    In each round the weights price the lengths and one dynamic program prices every room. From the heaviest and
+    longest length on, the best configuration that holds it is read off the table; while it is worth `slack` less
+    than the best at most, it is taken for half of what its scarcest length has left, rounded up. Then the
+    weights of the lengths fall by the share of them that the round covered, so that the next one favours what lags.
+    """
     lengths = np.array(sorted(histogram))
-    wanted = np.array([histogram[length] for length in lengths.tolist()], dtype=float)
-    weights = np.ones(len(lengths))
-    covered = np.zeros(len(lengths))
-    used: Counter[tuple[tuple[int, int], ...]] = Counter()
+    wanted = np.array([histogram[length] for length in lengths.tolist()])
+    left, weights = wanted.copy(), np.ones(len(lengths))
+    used: Counter[tuple[int, ...]] = Counter()
     for _ in range(rounds):
-        # a unit of length costs about the same everywhere; where coverage lags, its price rises
-        prices = lengths / capacity * weights
-        found = _best_configuration(lengths, prices, wanted, capacity)
-        if not found:
+        live = np.flatnonzero(left)
+        if not len(live):
             break
-        items = np.array(list(found))
-        counts = np.array([found[item] for item in items.tolist()], dtype=float)
-        amount = float((wanted[items] / counts).min())
-        step = min(amount, max(1.0, wanted @ lengths / capacity / rounds * 2))
-        used[tuple(sorted((int(lengths[item]), found[item]) for item in found))] += step
-        covered[items] += step * counts
-        weights[items] *= np.exp(-0.5 * step * counts / wanted[items])
-        weights /= weights.max()
-        weights[covered >= wanted] = 0.0
-        if not weights.any():
+        sizes, rest = lengths[live], left[live]
+        prices = sizes * weights[live] / capacity
+        value = _values(sizes, prices, capacity)
+        found = missed = 0
+        for item in np.lexsort((-sizes, -weights[live])).tolist():
+            while rest[item] and found < capacity:
+                trial = rest.copy()
+                trial[item] -= 1
+                counts, total = _fill(sizes, prices, value, trial, capacity - int(sizes[item]))
+                if total + prices[item] < (1 - slack) * value[capacity]:
+                    missed += 1
+                    break
+                counts[item] += 1
+                times = -(-min(int(rest[k]) // count for k, count in counts.items()) // 2)
+                for k, count in counts.items():
+                    rest[k] -= times * count
+                used[tuple(sorted((int(sizes[k]) for k in counts.elements()), reverse=True))] += times
+                found += 1
+            if missed > MISSES:
+                break
+        if not found:
             break
-    return [(amount, dict(items)) for items, amount in used.items()]
+        weights[live] *= np.exp(-rate * (left[live] - rest) / wanted[live])
+        left[live] = rest
+    return [Configuration(count, held) for held, count in used.items()], {
+        int(length): int(count) for length, count in zip(lengths, left) if count
+    }
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[Configuration]:
@@ -161,31 +184,15 @@ def _best_fit(left: dict[int, int], capacity: int) -> list[Configuration]:
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[Configuration]:
     """Configurations that hold every piece of the histogram exactly once.
 
-    The program's configurations are rounded down, fullest first. Loose ones, which only finish off a length, are
-    left to the best fit of the rest. Taking a smaller share of each leaves the rest easier to fit, which matters
-    where counts are small, so a few shares are tried and the plan with the fewest sequences is kept.
+    The covering program's come first, and best fit packs what they leave over. Best fit of everything is the plan
+    only where it takes fewer sequences, which happens with few pieces.
     """
     whole = [Configuration(histogram[capacity], (capacity,))] if histogram.get(capacity) else []
     small = {length: count for length, count in histogram.items() if count and length != capacity}
     if not small:
         return whole
-    found = [
-        (amount, items)
-        for amount, items in fractional_configurations(small, capacity, rounds)
-        if sum(length * count for length, count in items.items()) >= capacity * _FULL
-    ]
-    found.sort(key=lambda x: (-sum(length * count for length, count in x[1].items()), -x[0]))
-    plans = []
-    for share in _SHARES:
-        left, plan = dict(small), []
-        for amount, items in found:
-            times = min([int(amount * share), *(left[length] // count for length, count in items.items())])
-            if times:
-                lengths = tuple(length for length in sorted(items, reverse=True) for _ in range(items[length]))
-                plan.append(Configuration(times, lengths))
-                for length, count in items.items():
-                    left[length] -= times * count
-        plans.append(plan + _best_fit({length: count for length, count in left.items() if count}, capacity))
+    covered, left = covering_configurations(small, capacity, rounds)
+    plans = covered + _best_fit(left, capacity), _best_fit(small, capacity)
     return whole + min(plans, key=lambda plan: sum(one.count for one in plan))
 
 
@@ -208,8 +215,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, slic
     """Add sequence_id and offset to the rows of `pieces`, which must have a `length` from 1 to `capacity`.
 
     Repeated rows are pieces of their own; an empty table gives an empty result. Every other column passes through
-    and takes part in the order of the ranks; columns named sequence_id or offset are replaced. The broadcast plan has at most a few rows for each distinct length
-    and round, so its size is bounded by `capacity` and `rounds`.
+    and takes part in the order of the ranks; columns named sequence_id or offset are replaced. The broadcast plan has a
+    few rows for each configuration, of which there are at most `capacity` a round, besides the runs of best fit.
     """
     columns = pieces.columns
     pieces, named = positional(stored(pieces, "pieces"))

@@ -117,3 +117,51 @@ def test_packing_nothing_and_clashing_names(spark, documents):
     named = spark.createDataFrame([(5, 1, 2)], "length long, offset int, sequence_id string")
     assert packing.pack(named, 16).columns == ["length", "sequence_id", "offset"]
     assert rows_of(packing.pack(named, 16), "length", "offset") == [(5, 0)]
+
+
+def _lengths(values):
+    return dict(Counter(np.clip(values.astype(int), 1, 4095).tolist()))
+
+
+def test_sequences_come_from_configurations():
+    """Short and long texts mixed: the covering program makes nearly all sequences and reaches the lower bound."""
+    histogram = _lengths(np.exp(np.random.default_rng(1).normal(5.4, 1, 50_000)))
+    covered, left = packing.covering_configurations(histogram, 4096)
+    plan = packing.plan_sequences(histogram, 4096)
+    total = sum(one.count for one in plan)
+    assert sum(one.count for one in covered) >= 0.9 * total
+    assert total == -(-sum(length * count for length, count in histogram.items()) // 4096)
+    held = Counter(left)
+    for one in covered:
+        assert sum(one.lengths) <= 4096
+        for length in one.lengths:
+            held[length] += one.count
+    assert held == histogram
+
+
+def test_configurations_beat_best_fit_where_pieces_are_hard_to_combine():
+    histogram = _lengths(np.random.default_rng(2).integers(900, 2500, 50_000))
+    total = sum(one.count for one in packing.plan_sequences(histogram, 4096))
+    assert total < sum(one.count for one in packing._best_fit(histogram, 4096))
+
+
+def test_plan_is_never_above_best_fit():
+    for seed in range(5):
+        histogram = _lengths(np.random.default_rng(seed).integers(1, 4000, 150))
+        plan = packing.plan_sequences(histogram, 4096)
+        held = Counter()
+        for one in plan:
+            for length in one.lengths:
+                held[length] += one.count
+        assert held == histogram
+        assert sum(one.count for one in plan) <= sum(one.count for one in packing._best_fit(histogram, 4096))
+
+
+def test_words_of_plain_texts_are_those_of_the_library():
+    """Every character of the plain range between letters, digits, marks and apostrophes, and upper case that leaves it."""
+    path = tokenizer_file("word_bpe_49k.json")
+    texts = [f"{chr(c)}{d}a {chr(c)}'S{chr(c)}" for c in range(1, 0x260) for d in "'a 1!\u00c9\u023a"]
+    texts += ["<|ENDOFTEXT|> a<|b", "I'LL'd ''ve", "\u00bd\u00b212 \u00aa\u00b5\u00df", None, "", "word " * 50_000]
+    library = bpe._load(path)
+    for text, raw in zip(texts, bpe.word_end(path).encode(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, text[:40]
