@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelmill.llm.storage import positional
+
 WINDOW = 10
 #: benchmark text per broadcast
 BLOCK_BYTES = 8 << 20
@@ -119,10 +121,15 @@ def find_passages(
 
     A null or empty text has no words and no spans. Items without words match nothing; items that share an id are
     one item; an item whose id is null marks words but is not listed. Repeated document rows each get a row. With an
-    empty benchmark nothing is hit.
+    empty benchmark nothing is hit. Columns of `keep` that are named like a result are left out, a key so named is refused.
     """
-    columns = [key, *keep]
-    source = docs.select(*columns, F.col(text).cast("string").cast("binary").alias("_text"))
+    results_named = ["n_words", "spans", "items"]
+    if key in results_named:
+        raise ValueError(f"the key is named like a result: {key}")
+    given = [key, *(name for name in keep if name not in results_named)]
+    plain, named = positional(docs)
+    columns = [named[name] for name in given]
+    source = plain.select(*columns, F.col(named[text]).cast("string").cast("binary").alias("_text"))
     kinds = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in source.schema[: len(columns)])
     at, width = len(columns), len(columns) + 1
 
@@ -150,7 +157,7 @@ def find_passages(
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i) for i in range(at if last else width)] + results,
-                    names=[*columns, *([] if last else ["_text"]), "n_words", "spans", "items"],
+                    names=[*columns, *([] if last else ["_text"]), *results_named],
                 )
 
         return search
@@ -161,4 +168,4 @@ def find_passages(
         carried = "" if last else ", _text binary"
         schema = f"{kinds}{carried}, n_words long, spans array<int>, items array<string>"
         source = source.mapInArrow(searching(block, last), schema)
-    return source
+    return source.toDF(*given, *results_named)

@@ -93,8 +93,19 @@ def common_shingles(texts: DataFrame, words: int, known: int = KNOWN_SHINGLES, l
 
     def total(part: pd.DataFrame) -> pd.DataFrame:
         once, more, times = (np.frombuffer(b"".join(part[name]), "<u4") for name in ("once", "more", "times"))
-        keys, at = np.unique(np.concatenate([once, more]), return_inverse=True)
-        sums = np.bincount(at, weights=np.concatenate([np.ones(len(once)), times])).astype(np.int64)
+        # key and count in one number, so that sorting in place brings equal keys together
+        packed = np.empty(len(once) + len(more), np.uint64)
+        packed[: len(once)], packed[len(once) :] = once, more
+        packed <<= np.uint64(32)
+        packed[: len(once)] |= np.uint64(1)
+        packed[len(once) :] |= times
+        del once, more, times
+        packed.sort()
+        keys = (packed >> np.uint64(32)).astype("<u4")
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        keys = keys[starts]
+        packed &= np.uint64(0xFFFFFFFF)
+        sums = np.add.reduceat(packed, starts).astype(np.int64)
         kept = sums >= least
         return pd.DataFrame({"key": keys[kept].astype(np.int64) * buckets + int(part["bucket"].iloc[0]), "docs": sums[kept]})
 

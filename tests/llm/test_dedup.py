@@ -154,3 +154,20 @@ def test_components_of_a_long_path_and_a_hub(spark):
     found = dict(rows_of(components.connected(spark.createDataFrame(edges, "u long, v long")), "node", "root"))
     assert all(found[k] == 100 for k in range(100, 161)) and all(found[k] == 1 for k in [5, *range(200, 260)])
     assert components.connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_common_shingles_are_counted_exactly(documents, monkeypatch):
+    """Shingles of many texts, in several buckets and batches, against a plain count."""
+    monkeypatch.setattr(jaccard, "_COUNTED_TOGETHER", 50)
+    monkeypatch.setattr(jaccard, "_COUNTED_ROWS", 7)
+    texts = [f"a b c d e f{k % 5} g{k % 3} " + "x y z u v w " * (k % 4) for k in range(200)] + [None, "", "one"]
+    frame = documents(texts).selectExpr("cast(text as binary) AS _text")
+    plain = Counter(int(one) for text in texts for one in jaccard.shingle_set((text or "").encode(), 3))
+    keys, docs, buckets = jaccard.common_shingles(frame, 3, 1 << 20, 2)
+    assert buckets > 1
+    shift = buckets.bit_length() - 1
+    want = Counter()
+    for one, count in plain.items():
+        want[(one >> 32 << shift) | (one & (buckets - 1))] += count
+    assert dict(zip(keys.tolist(), docs.tolist())) == {one: count for one, count in want.items() if count >= 2}
+

@@ -210,3 +210,17 @@ def test_conversations_read_back(spark):
         assert row["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
         assert row["formatted_chars"] == len(template(turns))
     assert chat.read_back(chat.format_conversations(frame.limit(0), template), template).count() == 0
+
+
+def test_passages_with_clashing_columns(spark, documents):
+    """A kept column may have any name; those named like a result give way to it."""
+    bench = spark.createDataFrame([("i", "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10")], "item_id string, text string")
+    frame = documents(["x w1 w2 w3 w4 w5 w6 w7 w8 w9 w10", None]).selectExpr(
+        "doc_id", "text", "'kept' AS _text", "'c' AS c0", "1 AS spans", "2 AS n_words"
+    )
+    found = decontamination.find_passages(frame, bench, keep=["_text", "c0", "spans", "n_words"])
+    assert found.columns == ["doc_id", "_text", "c0", "n_words", "spans", "items"]
+    assert sorted((r["_text"], r["c0"], r["n_words"], r["items"]) for r in found.collect()) == [("kept", "c", 0, []), ("kept", "c", 11, ["i"])]
+    with pytest.raises(ValueError):
+        decontamination.find_passages(frame, bench, key="spans")
+
