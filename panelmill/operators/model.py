@@ -6,6 +6,7 @@ PipelineModel whose first stage is plain SQL, so it can be saved, loaded and app
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Protocol
@@ -122,6 +123,36 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _mean_and_deviation(rows: DataFrame, plain: Mapping[str, str]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation of every expression, to the last digit the same in whatever order tasks end.
+
+    A sum of doubles depends on that order, a sum of decimals does not. Values are divided by a power of two near the
+    largest, and squared deviations by one near the largest square, so 25 digits serve columns of any size.
+    """
+    if not plain:
+        return {}
+    values = rows.select(*[F.expr(sql).alias(name) for name, sql in plain.items()])
+
+    def exponents(sizes: Mapping[str, Column]) -> dict[str, float]:
+        found = values.agg(*[F.max(F.abs(size)).alias(name) for name, size in sizes.items()]).first()
+        if not all(math.isfinite(found[name] or 0.0) for name in sizes):
+            raise ValueError(f"not finite: {', '.join(name for name in sizes if not math.isfinite(found[name] or 0.0))}")
+        return {name: math.ldexp(1.0, math.frexp(found[name] or 0.0)[1] - 1) for name in sizes}
+
+    def averages(terms: Mapping[str, Column]) -> dict[str, float]:
+        sums = [F.sum(term.cast("decimal(28,25)")).alias(name) for name, term in terms.items()]
+        found = values.agg(F.count(F.lit(1)).alias("|rows"), *sums).first()
+        return {name: float((found[name] or 0) / max(1, found["|rows"])) for name in terms}
+
+    column = {name: F.col(f"`{name}`") for name in plain}
+    unit = exponents(column)
+    mean = {name: value * unit[name] for name, value in averages({name: column[name] / unit[name] for name in plain}).items()}
+    away = {name: column[name] - mean[name] for name in plain}
+    unit = exponents(away)
+    square = averages({name: (away[name] / unit[name]) * (away[name] / unit[name]) for name in plain})
+    return {name: (mean[name], math.sqrt(square[name]) * unit[name]) for name in plain}
+
+
 def fit_preprocess(train: DataFrame, columns: FeatureColumns, top: int = 10) -> tuple[list, list[str]]:
     """Stages that turn rows into `features`, fitted on training rows only, and the feature names.
 
@@ -145,15 +176,8 @@ def fit_preprocess(train: DataFrame, columns: FeatureColumns, top: int = 10) ->
     for name in columns.numeric:
         if medians[name]["null_rows"]:
             plain[f"{name}_missing"] = f"CAST(`{name}` IS NULL AS DOUBLE)"
-    spread = train.select(*[F.expr(sql).alias(name) for name, sql in plain.items()]).agg(
-        *[F.avg(name).alias(f"{name}|mean") for name in plain],
-        *[F.stddev_pop(name).alias(f"{name}|sd") for name in plain],
-    ).first() if plain else None
-
-    scaled = {
-        name: f"({sql} - {spread[f'{name}|mean']!r}D) / {(spread[f'{name}|sd'] or 1.0)!r}D"
-        for name, sql in plain.items()
-    }
+    spread = _mean_and_deviation(train, plain)
+    scaled = {name: f"({sql} - {spread[name][0]!r}D) / {(spread[name][1] or 1.0)!r}D" for name, sql in plain.items()}
     for name in columns.zero_one:
         scaled[name] = f"coalesce(CAST(`{name}` AS DOUBLE), {modes.get(name, 0.0)!r}D)"
     for name in columns.categorical:

@@ -61,7 +61,7 @@ def newton_logistic(rows: DataFrame, width: int, penalty: float = 0.0, max_iter:
     """
     charge = np.array([penalty] * width + [0.0])
     at, last, least = np.zeros(width + 1), np.zeros(width + 1), np.inf
-    scale = float(rows.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]) or 1.0
+    scale = float(rows.agg(F.coalesce(F.sum(F.col("w").cast("decimal(38,12)")), F.lit(0))).first()[0]) or 1.0
     for _ in range(max_iter):
         loss, slope, curvature = _sums(rows, at)
         loss += float(charge @ (at * at)) / 2

@@ -44,6 +44,20 @@ def logistic(train):
     return model.fit_logistic(train, COLUMNS)
 
 
+def test_preprocessing_does_not_depend_on_the_order_of_tasks(spark):
+    """Sums of doubles do: one large value first or last gives another mean."""
+    rng = random.Random(4)
+    rows = [(i, i % 2, rng.gauss(0, 1) * 10 ** rng.randint(-3, 6), None if i % 3 else 0.1 * i, 0, 1, "k") for i in range(2000)]
+    rows = [(*row[:2], 1.1, *row[3:]) if row[0] % 5 == 0 else row for row in rows]
+    found = {
+        model.fit_preprocess(spark.createDataFrame(some, SCHEMA).coalesce(tasks), COLUMNS)[0][0].getStatement()
+        for some, tasks in ((rows, 1), (rows[::-1], 1), (sorted(rows, key=lambda row: abs(row[2])), 3))
+    }
+    assert len(found) == 1
+    same = spark.createDataFrame([(i, i % 2, 1.1, 0.3, 0, 1, "k") for i in range(7)], SCHEMA)
+    assert "- 1.1D) / 1.0D" in model.fit_preprocess(same, COLUMNS)[0][0].getStatement()
+
+
 def test_preprocessing_is_fitted_on_training_rows(spark, train):
     stages, names = model.fit_preprocess(train, COLUMNS, top=10)
     rows = make_rows()
