@@ -54,6 +54,19 @@ def test_the_bootstrap_stores_slices_times_resamples(spark, monkeypatch):
     assert stored[0] == slices * 41 and stored[1] <= 3 * slices * 41 < 6000
 
 
+def test_small_slices_of_the_bootstrap_stay_apart(spark, monkeypatch):
+    """Few rows times many resamples are much work: no task gets several slices only because their rows are few."""
+    rows = [(i, i % 300, int(i % 7 == 0), (i * 37 % 4001) / 4001) for i in range(4000)]
+    df = spark.createDataFrame(rows, "tie int, customer_id int, label int, score double")
+    stored = []
+    keep = bootstrap.cut_lineage
+    monkeypatch.setattr(bootstrap, "cut_lineage", lambda frame: stored.append(keep(frame)) or stored[-1])
+    index = evaluation.index_scores(df, ["customer_id"])
+    evaluation.cluster_bootstrap(index, "customer_id", 8, 42).collect()
+    assert index.slices.count() > 1
+    assert stored[1].rdd.getNumPartitions() >= index.slices.count()
+
+
 def test_fingerprints_of_results(spark):
     one = spark.createDataFrame([(1, None), (None, 1), (2, 2), (2, 2)], "a int, b int")
     same = spark.createDataFrame([(2, 2), (None, 1), (2, 2), (1, None)], "a int, b int")
