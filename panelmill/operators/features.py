@@ -216,17 +216,28 @@ def population_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+#: rows of a panel whose features are compared in one task
+_ROWS_A_TASK = 50_000
+
+
 def leakage_difference(
     panel: DataFrame, scrambled: DataFrame, target: str, splits: Splits, cutoff: int, pattern: str = FLAG_PATTERN
 ) -> DataFrame:
-    """Feature rows up to the cutoff that change when later periods change. Empty means no leakage."""
+    """Feature rows up to the cutoff that change when later periods change, as often as they do. Empty means no leakage.
+
+    Both panels are dealt over as many tasks as their rows need, however well these compress, and each row is computed
+    once. Counts the rows of the panel when called.
+    """
+    tasks = 1 + panel.count() // _ROWS_A_TASK
 
-    def features(source: DataFrame) -> DataFrame:
-        rows = propensity_dataset(source, target, splits, pattern=pattern)
-        return rows.filter(F.col("feature_month") <= cutoff).drop(*LABEL_COLUMNS[1:])
+    def features(source: DataFrame, sign: int) -> DataFrame:
+        rows = propensity_dataset(source.repartition(tasks, ENTITY), target, splits, pattern=pattern)
+        return rows.filter(F.col("feature_month") <= cutoff).drop(*LABEL_COLUMNS[1:]).withColumn("_sign", F.lit(sign))
 
-    before, after = features(panel), features(scrambled)
-    return before.exceptAll(after).unionByName(after.exceptAll(before))
+    both = features(panel, 1).unionByName(features(scrambled, -1))
+    names = [name for name in both.columns if name != "_sign"]
+    unequal = both.groupBy(*names).agg(F.sum("_sign").alias("_more")).filter("_more <> 0")
+    return unequal.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("_more")))).select(*names)
 
 
 def scramble_after(panel: DataFrame, cutoff: int, pattern: str = FLAG_PATTERN) -> DataFrame:

@@ -129,6 +129,24 @@ def test_target_and_labels_are_no_features(dataset):
     assert dataset.filter("label_month <> feature_month + 1").isEmpty()
 
 
+def test_later_periods_are_compared_in_tasks_of_bounded_rows(panel, monkeypatch):
+    """The rows per task are fixed, and a row that differs comes once from each side, as often as it is there."""
+    monkeypatch.setattr(features, "_ROWS_A_TASK", 10, raising=False)
+    earlier = features.scramble_after(panel, 5)
+    found = features.leakage_difference(panel, earlier, TARGET, SPLITS, 6)
+
+    def rows(source):
+        return features.propensity_dataset(source, TARGET, SPLITS).filter("feature_month <= 6").drop("adopts_target", "adopts_any")
+
+    one, other = rows(panel), rows(earlier)
+    expected = one.exceptAll(other).unionByName(other.exceptAll(one))
+    assert found.columns == expected.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+    twice = features.leakage_difference(panel, panel.limit(0), TARGET, SPLITS, 6)
+    assert sorted(map(str, twice.collect())) == sorted(map(str, one.collect()))
+    assert found.rdd.getNumPartitions() >= panel.count() // 10 > 1
+
+
 def test_later_periods_do_not_leak(panel):
     scrambled = features.scramble_after(panel, 6)
     assert features.leakage_difference(panel, scrambled, TARGET, SPLITS, 6).isEmpty()
