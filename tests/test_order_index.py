@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -67,6 +68,40 @@ def test_small_slices_of_the_bootstrap_stay_apart(spark, monkeypatch):
     assert stored[1].rdd.getNumPartitions() >= index.slices.count()
 
 
+@pytest.mark.parametrize("resamples", [1, 7, 43])
+def test_weights_of_the_bootstrap_are_quarters_of_digests(resamples):
+    names = [None, "", "7", "1234", "-5", "é", "x" * 48, "x" * 53, "x" * 90, *map(str, range(300))]
+    found = bootstrap._weights_of(resamples, 42)(names)
+    for at, name in enumerate(names):
+        for resample in range(resamples):
+            text = f"{'' if name is None else name + '|'}{resample // 4}|42"
+            draw = int(hashlib.md5(text.encode()).hexdigest()[resample % 4 * 8 :][:8], 16)
+            assert found[resample, at] == sum(draw >= bound for bound in bootstrap.POISSON_ONE)
+    assert (found[-1] == 1).all() and found.shape == (resamples + 1, len(names))
+
+
+def test_the_bootstrap_draws_a_cluster_once_for_each_slice(spark, monkeypatch):
+    """However many of its rows have the slice's one score."""
+    drawn = spark.sparkContext.accumulator(0)
+    whole = bootstrap._weights_of
+
+    def counted(*given):
+        weights = whole(*given)
+
+        def count(names):
+            drawn.add(len(names))
+            return weights(names)
+
+        return count
+
+    monkeypatch.setattr(bootstrap, "_weights_of", counted)
+    rows = [(i, i % 5, int(i % 3 == 0), 0.5) for i in range(30000)]
+    df = spark.createDataFrame(rows, "tie int, customer_id int, label int, score double")
+    index = evaluation.index_scores(df, ["customer_id"])
+    evaluation.cluster_bootstrap(index, "customer_id", 1000, 42).collect()
+    assert drawn.value <= 2 * 5 * index.slices.count()
+
+
 def test_fingerprints_of_results(spark):
     one = spark.createDataFrame([(1, None), (None, 1), (2, 2), (2, 2)], "a int, b int")
     same = spark.createDataFrame([(2, 2), (None, 1), (2, 2), (1, None)], "a int, b int")
