@@ -278,7 +278,7 @@ def _slice_parts(
 
     own = rows.select("_slice", F.col("label").cast("int").alias("label"), F.col("score").cast("double").alias("score"), "cluster", "position")
     # A number of partitions keeps small slices, whose work is large, from being put together in few tasks.
-    tasks = _TASKS_A_SLICE * slices
+    tasks = max(1, _TASKS_A_SLICE * slices)
     own, above = own.repartition(tasks, "_slice"), above.repartition(tasks, "_slice")
     return own.groupBy("_slice").cogroup(above.groupBy("_slice")).applyInArrow(run, PARTS)
 

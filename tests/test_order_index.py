@@ -102,6 +102,11 @@ def test_the_bootstrap_draws_a_cluster_once_for_each_slice(spark, monkeypatch):
     assert drawn.value <= 2 * 5 * index.slices.count()
 
 
+def test_the_bootstrap_of_no_rows(spark):
+    df = spark.createDataFrame([], "tie int, customer_id int, label int, score double")
+    assert evaluation.cluster_bootstrap(df, "customer_id", 8, 42).collect() == []
+
+
 def test_fingerprints_of_results(spark):
     one = spark.createDataFrame([(1, None), (None, 1), (2, 2), (2, 2)], "a int, b int")
     same = spark.createDataFrame([(2, 2), (None, 1), (2, 2), (1, None)], "a int, b int")
