@@ -263,6 +263,23 @@ def fit_logistic(
     return FittedModel("logistic_regression", pipeline, names, coefficients)
 
 
+#: training rows of the boosted trees in one partition
+_TREE_ROWS = 50_000
+
+
+def _settled(rows: DataFrame, count: int) -> DataFrame:
+    """The `count` rows in partitions and in an order that follow from `features`, `label` and `count` alone.
+
+    MLlib draws rows and split candidates partition by partition, row after row. Equal rows may change places; the
+    number that tells them apart only lets large groups of them be split. Stores the rows when called.
+    """
+    numbered = cut_lineage(rows.withColumn("_copy", F.monotonically_increasing_id()))
+    ranked = order_index(numbered, [vector_to_array("features"), F.col("label"), F.col("_copy")]).ranked()
+    slices = 1 + (count - 1) // _TREE_ROWS
+    dealt = ranked.repartitionById(slices, F.pmod("position", F.lit(slices)).cast("int"))
+    return dealt.sortWithinPartitions("position").select(*rows.columns)
+
+
 def fit_boosted_trees(
     train: DataFrame,
     columns: FeatureColumns,
@@ -274,11 +291,14 @@ def fit_boosted_trees(
     column_share: float = 0.8,
     seed: int = 42,
 ) -> FittedModel:
-    """Gradient-boosted trees with the positives weighted by negatives / positives."""
+    """Gradient-boosted trees with the positives weighted by negatives / positives.
+
+    The same rows give the same draws, however they are partitioned. Stores the prepared training rows."""
     counts = _both_classes(train, "training")
     stages, names = fit_preprocess(train, columns, top)
     weight = F.when(F.col("label") == 1, counts["positive_weight"]).otherwise(1.0)
     prepared = PipelineModel(stages).transform(train.withColumn("_w", weight))
+    rows = prepared.select("features", F.col("label").cast("double").alias("label"), "_w")
     model = GBTClassifier(
         featuresCol="features",
         labelCol="label",
@@ -289,7 +309,7 @@ def fit_boosted_trees(
         subsamplingRate=subsample,
         featureSubsetStrategy=str(column_share),
         seed=seed,
-    ).fit(prepared.select("features", F.col("label").cast("double").alias("label"), "_w"))
+    ).fit(_settled(rows, counts["rows"]))
     return FittedModel("boosted_trees", PipelineModel([*stages, model]), names)
 
 

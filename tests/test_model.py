@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -162,6 +163,29 @@ def test_models_beat_the_baselines(train, validation, logistic):
     assert model.select_model(metrics).first()["candidate"] == best
 
 
+def test_trees_do_not_depend_on_partitions(train, validation, monkeypatch):
+    few = train.filter("tie < 800")
+    for slice_rows in (50_000, 300):
+        monkeypatch.setattr(model, "_TREE_ROWS", slice_rows)
+        one, other = (
+            model.fit_boosted_trees(few.repartition(parts), COLUMNS, trees=4).raw_scores(validation).select("tie", "score").collect()
+            for parts in (1, 7)
+        )
+        assert sorted(one) == sorted(other) and len({row["score"] for row in one}) > 10
+
+
+def test_settled_rows_are_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(model, "_TREE_ROWS", 20)
+    rows = spark.createDataFrame([(float(i % 3 if i < 90 else 7), i % 2) for i in range(110)], "a double, label int")
+    given = VectorAssembler(inputCols=["a"], outputCol="features").transform(rows).select("features", "label")
+    kept = [
+        model._settled(given.repartition(parts), 110).select(F.spark_partition_id(), vector_to_array("features")[0], "label").collect()
+        for parts in (1, 5)
+    ]
+    assert kept[0] == kept[1] and sorted(row[1:] for row in kept[0]) == sorted(tuple(row) for row in rows.collect())
+    assert [sum(row[0] == part for row in kept[0]) for part in range(6)] == [18, 19, 19, 18, 18, 18]
+
+
 def test_selection_tie_goes_to_the_later_name(spark):
     df = spark.createDataFrame([("a", 0.5), ("b", 0.5), ("c", 0.4)], "candidate string, pr_auc double")
     assert model.select_model(df).first()["candidate"] == "b"
